@@ -155,7 +155,8 @@ class Canonical:
         self.path, self.trie = path, None
         self.plain = plain_table()
         self.changed = re.compile(_klass(self.plain))
-        self.twin = re.compile(_klass(TWINS))
+        accented = [chr(c) for c in [*range(0x370, 0x530), *range(0x1F00, 0x2000)] if unicodedata.normalize("NFD", chr(c))[0] in TWINS]
+        self.twin = re.compile(_klass({*TWINS, *accented}))
         self.foreign = re.compile(f"[{GREEK_CYRILLIC}]")
         self.latin = re.compile(f"[{LATIN}]")
         self.word = re.compile("[^\\W\\d_]+(?:[̀-ͯ]+[^\\W\\d_]*)*")
