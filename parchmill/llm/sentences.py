@@ -71,7 +71,7 @@ _special = re.compile(_klass(map(chr, _view)))
 _plain = {chr(c): v for c, v in _view.items()}
 _twins = {ord(c): t[0] for c, t in TWINS.items()}
 _shut = re.escape(CLOSERS)
-_end = re.compile(f"[{STOPS}]+(?:[{_shut}“]*(?= |\n|$|[{CJK}])| ?[»›]+(?= |\n|$)|(?<=[{HARD}！？])[{_shut}]*|(?<=[!?])(?=[{CJK}]))")
+_end = re.compile(f"[{STOPS}]+(?:[{_shut}]*(?=[{CJK}])|[{_shut}“]*(?= |\n|$)| ?[»›]+(?= |\n|$)|(?<=[{HARD}！？])[{_shut}]*|(?<=[!?])(?=[{CJK}]))")
 _thai = re.compile("(?<=[ก-ฺเ-๎])[ \n]+(?=[ก-ฮเ-ๆ])")
 _marks = re.compile('[' + "".join(map(re.escape, {*PAIRS, *"".join(PAIRS.values()), '"'})) + "]")
 _paragraph = re.compile("\n[^\\S\n]*(?:\n[^\\S\n]*)+")
@@ -217,8 +217,6 @@ def _cuts(block: str, thai: bool) -> list[tuple[int, int]]:
         if pairs and any(a < end <= b for a, b in pairs):
             continue
         marks = m.group()
-        if marks[-1] == "“" and start == end:
-            continue
         stop = block.find(" ", start)
         nxt = block[start : stop if stop > 0 else size]
         weight = _closing(block, m.start(), marks.rstrip(CLOSERS + "“ "), nxt, start > end)
