@@ -32,9 +32,9 @@ class Down:
         return isinstance(other, Down) and self.value == other.value
 
 
-def _rank(values: list, descending: bool) -> list:
+def _rank(values: list, descending: bool, numeric: bool) -> list:
     """Comparable ranks, the better the greater; null and NaN are worst in either direction."""
-    if all(isinstance(v, (int, float)) for v in values if v is not None):
+    if numeric:
         sign = 1 if descending else -1
         return [-math.inf if v is None or v != v else sign * v for v in values]
     return [(0, 0) if v is None else (1, v if descending else Down(v)) for v in values]
@@ -73,6 +73,7 @@ def top_n_per_group(df: DataFrame, group: str, order: list[tuple[str, bool]], n:
     names = [c for c, _ in order]
     source = df.select(F.col(group).alias("g"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(names)])
     schema = source.schema
+    numbers = [isinstance(f.dataType, (T.IntegralType, T.DoubleType, T.FloatType)) for f in schema.fields[1:]]
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in schema] + [("rank", pa.int32())])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -83,7 +84,7 @@ def top_n_per_group(df: DataFrame, group: str, order: list[tuple[str, bool]], n:
         heaps, last = Heaps(n), object()
         for batch in batches:
             groups, *values = (batch.column(i).to_pylist() for i in range(1 + len(names)))
-            ranks = zip(*(_rank(v, descending) for v, (_, descending) in zip(values, order, strict=True)), strict=True)
+            ranks = zip(*(_rank(v, descending, number) for v, (_, descending), number in zip(values, order, numbers, strict=True)), strict=True)
             for g, rank, row in zip(groups, ranks, zip(*values, strict=True), strict=True):
                 if ordered and g != last:  # its rows are all there
                     if len(heaps.of) >= 5_000:
