@@ -137,8 +137,8 @@ def repeated_lines(df: DataFrame, key: str, sources, text: str, documents: int =
     spark = df.sparkSession
     lines = cut(document_lines(df, key, sources, text, least, path), "lines")
     total = lines.count()
-    # at most a thousand sources can have more lines than this, so the list of large sources is of bounded size
-    limit = max(chunk, total // 1000)
+    # at most a hundred thousand sources can have more lines than this, so the list of large sources is of bounded size
+    limit = max(chunk, total // 100_000)
     large = lines.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("source", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
     split = lines.join(F.broadcast(large), "source", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     schema = f"source string, id {dict(lines.dtypes)['id']}, line_no long, line long, part int, parts int, docs long, block long"
