@@ -83,8 +83,9 @@ class ItemIndex:
             reach, close = 1 << 60, 0.0
             for p in lists[: pivot + 1]:
                 k = bisect_left(p[3], item)
-                close += p[4][k]
-                reach = min(reach, p[3][k])
+                if k < len(p[3]):  # else this list has ended before the item
+                    close += p[4][k]
+                    reach = min(reach, p[3][k])
             if close >= 1 - 1e-9:
                 if lists[0][1][lists[0][0]] == item:
                     if sum(p[2][p[0]] for p in lists[: pivot + 1]) >= 1 - 1e-9:
