@@ -4,7 +4,7 @@ The items are indexed by word: postings of BM25 impacts in blocks that know thei
 cut into overlapping passages of twice ``run`` words, so that each run of ``run`` words lies in one of them, and every
 passage is a query, answered by block-max WAND. Impacts are divided by the least score that any run of the item
 itself can reach; an item of score 1 or more is retrieved, so no passage with a whole run of an item is ever missed.
-Retrieved items are verified word by word.
+Retrieved items are verified word by word. Words that no item has end a passage, as no run holds one.
 
 The index is built on the driver, in blocks of at most ``index_chars`` characters of items, so what is broadcast is
 bounded however many items there are; each block is one pass over the documents.
@@ -104,21 +104,28 @@ class ItemIndex:
     def leaked(self, w: list[str]) -> set[int]:
         """The ids of the items that share a run of words with a text of these words."""
         run, most = self.run, self.most
-        if len(w) < run:
-            return set()
-        sums = [0.0, *accumulate([most.get(t, 0.0) for t in w])]
-        if sums[-1] < 1 - 1e-6:
-            return set()
         out: set[int] = set()
-        for at in range(0, max(1, len(w) - run + 1), run):
-            end = min(at + 2 * run, len(w))
-            if sums[end] - sums[at] < 1 - 1e-6:
+        score, first = [most.get(t) for t in w], 0
+        while first <= len(w) - run:
+            # a run of an item has only indexed words, so passages are cut from stretches of these
+            stop = next((k for k in range(first + run - 1, first - 1, -1) if score[k] is None), None)
+            if stop is not None:
+                first = stop + 1
                 continue
-            passage = w[at:end]
-            hits = self.search(passage)
-            if hits:
-                runs = [tuple(passage[k : k + run]) for k in range(len(passage) - run + 1)]
-                out.update(self.ids[n] for n in hits if self.ids[n] not in out and any(r in self.runs[n] for r in runs))
+            end = first + run
+            while end < len(w) and score[end] is not None:
+                end += 1
+            sums = [0.0, *accumulate(score[first:end])]
+            for at in range(first, max(first + 1, end - run + 1), run):
+                last = min(at + 2 * run, end)
+                if sums[last - first] - sums[at - first] < 1 - 1e-6:
+                    continue
+                passage = w[at:last]
+                hits = self.search(passage)
+                if hits:
+                    runs = [tuple(passage[k : k + run]) for k in range(len(passage) - run + 1)]
+                    out.update(self.ids[n] for n in hits if self.ids[n] not in out and any(r in self.runs[n] for r in runs))
+            first = end + 1
         return out
 
 
