@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lookalikes, sentences, topn
+from . import boilerplate, leaks, lookalikes, mixing, neardup, residue, sentences, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.record_units(table(spark, sf_dir, "raw_records"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(table(spark, sf_dir, "raw_records"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, sf_dir, "raw_records"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.record_lines(table(spark, sf_dir, "raw_records"))
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "raw_records")
+    return boilerplate.without_lines(records, "record_id", "core_text", boilerplate.record_lines(records))
+
+
+def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.repeated_blocks(boilerplate.repeated_lines(table(spark, sf_dir, "raw_records"), "record_id", boilerplate.issuers(), "core_text"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, sf_dir, "raw_records"))
 
@@ -28,6 +49,32 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.lookalike_classes(table(spark, sf_dir, "raw_records"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_items")
+    return leaks.leak_report(leaks.leaked_items(table(spark, sf_dir, "documents"), items), items)
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mixture(table(spark, sf_dir, "documents"), targets), targets)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"))
+
+
+def p8_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_labels(table(spark, sf_dir, "documents"))
+
+
 P1_SQL = """
 WITH latest AS (
   SELECT * FROM (SELECT id, window_id, similarity_score, hit_sentence_index, row_number() OVER (PARTITION BY window_id ORDER BY processed_at DESC) AS r FROM context_windows)
