@@ -16,7 +16,7 @@ def three_valued_counts(df: DataFrame, column: str) -> DataFrame:
 
 def keyword_counts(df: DataFrame, column: str) -> DataFrame:
     """(keyword, n): how many rows hold each trimmed keyword, most first."""
-    return df.select(F.trim(F.explode(column)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword")
+    return df.select(F.explode(column).alias("k")).groupBy(F.trim("k").alias("keyword")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword")
 
 
 def combination_counts(df: DataFrame, column: str) -> DataFrame:
@@ -41,7 +41,7 @@ def record_scores(windows: DataFrame, keys: list[str], score: str, threshold: fl
     s = F.nanvl(F.col(score), F.lit(None).cast("double"))
     return windows.groupBy(*keys).agg(
         F.count("*").alias("total"), F.count_if(F.coalesce(s, F.lit(0.0)) >= threshold).alias("accepted"), F.count_if(F.coalesce(s, F.lit(0.0)) < threshold).alias("rejected"),
-        F.round(F.avg(F.round(s, 4)), 4).alias("filings_average"),
+        F.round(F.avg(F.round(s, 4).cast("decimal(18,4)")), 4).cast("double").alias("filings_average"),
     )
 
 

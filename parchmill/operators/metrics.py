@@ -93,8 +93,8 @@ def pr_curve(df: DataFrame, score: str, truth: Column, by: list[str]) -> DataFra
     """
     steps = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(truth).alias("p"), F.count_if(~F.coalesce(truth, F.lit(False))).alias("n"))
     down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = steps.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(Window.partitionBy(*by)).alias("all"))
-    return sums.select(*by, "score", "tp", "fp", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("all")).alias("recall"))
+    sums = steps.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(Window.partitionBy(*by)).alias("__all"))
+    return sums.select(*by, "score", "tp", "fp", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("__all")).alias("recall"))
 
 
 def average_precision(curve: DataFrame, by: list[str]) -> DataFrame:
