@@ -66,7 +66,7 @@ BEFORE_ORDINAL = frozenset("am Am im Im der Der die Die das Das dem den des vom
 
 _dropped = frozenset(c for c, v in plain_table().items() if not v)
 _drop = re.compile(_klass(_dropped))
-_view = {ord(c): v[0] for c, v in plain_table().items() if v and (v[0].isalnum() or v[0] in " .") and c not in STOPS.replace("．", "")} | {ord(c): " " for c in "\t\r\x0b\x0c\x85  "}
+_view = {ord(c): v[0] for c, v in plain_table().items() if v and (v[0].isalnum() or v[0] in " .") and c not in STOPS.replace("．", "")} | {ord(c): " " for c in "\t\r\x0b\x0c\x85\u2028\u2029"}
 _special = re.compile(_klass(map(chr, _view)))
 _plain = {chr(c): v for c, v in _view.items()}
 _twins = {ord(c): t[0] for c, t in TWINS.items()}
