@@ -64,7 +64,7 @@ def strict_name(col: Column | str) -> Column:
 def ticker_list(col: Column | str) -> Column:
     """All tickers of a display name as an array; an empty array without any."""
     group = F.regexp_extract(_c(col), r"\(([A-Z,\s-]+)\)\s+\(CIK", 1)
-    return F.filter(F.transform(F.split(group, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(group, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def document_urls(ciks: Column | str, adsh: Column | str, name: Column | str, base: str) -> Column:
@@ -124,7 +124,7 @@ def timed_label(name: Column | str, ms: Column | str) -> Column:
 
 def comma_list(col: Column | str) -> Column:
     """Parts of a comma list, stripped, without empty ones."""
-    return F.filter(F.transform(F.split(_c(col), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(_c(col), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def joined(col: Column | str, by: str = "; ") -> Column:
@@ -134,7 +134,7 @@ def joined(col: Column | str, by: str = "; ") -> Column:
 
 def keyword_combination(col: Column | str, none: str = "[no keywords]") -> Column:
     """Sorted, trimmed keywords as ``['a', 'b']``."""
-    keys = F.array_sort(F.transform(_c(col), F.trim))
+    keys = F.array_sort(F.transform(_c(col), lambda t: F.trim(t)))
     return F.when(_c(col).isNull() | (F.size(_c(col)) == 0), F.lit(none)).otherwise(F.concat(F.lit("['"), F.array_join(keys, "', '"), F.lit("']")))
 
 

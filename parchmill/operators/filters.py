@@ -46,7 +46,7 @@ def has_keyword(col: Column | str, keyword: str, strict: bool = False) -> Column
 
 def keyword_set(col: Column | str) -> Column:
     """Distinct keywords in lower case without quotation marks, sorted; null gives an empty array."""
-    return F.coalesce(F.array_sort(F.array_distinct(F.transform(_c(col), plain_keyword))), F.array().cast("array<string>"))
+    return F.coalesce(F.array_sort(F.array_distinct(F.transform(_c(col), lambda k: plain_keyword(k)))), F.array().cast("array<string>"))
 
 
 def included(keywords: Column | str, wanted: str | list[str] | None, strict: bool = False) -> Column:
