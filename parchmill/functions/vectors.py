@@ -72,10 +72,10 @@ class HashingEmbedder:
         return out
 
 
-def embed(text: Column | str, make: Callable[[], Callable[[list[str]], np.ndarray]] = HashingEmbedder, batch: int = 512) -> Column:
+def embed(text: Column | str, make: Callable[[], Callable[[list[str]], np.ndarray]] = HashingEmbedder, batch: int = 512, unit: bool = False) -> Column:
     """Embedding column; ``make`` builds the embedder once per worker. Texts are batched by length, results keep their order.
 
-    Null gives null.
+    Null gives null. ``unit`` scales the vectors to length 1 (zero vectors stay).
     """
 
     @F.pandas_udf("array<float>")
@@ -87,7 +87,11 @@ def embed(text: Column | str, make: Callable[[], Callable[[list[str]], np.ndarra
             out: list = [None] * len(texts)
             for at in range(0, len(order), batch):
                 part = order[at : at + batch]
-                for k, vector in zip(part, model([texts[j] for j in part]), strict=True):
+                made = np.asarray(model([texts[j] for j in part]))
+                if unit:
+                    size = np.linalg.norm(made, axis=1, keepdims=True)
+                    made = made / np.where(size == 0, 1, size)
+                for k, vector in zip(part, made, strict=True):
                     out[k] = vector.tolist()
             yield pd.Series(out)
 

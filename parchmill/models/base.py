@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import Category, stable_id
 from ..functions import values
-from ..functions.vectors import HashingEmbedder, embed, normalised
+from ..functions.vectors import HashingEmbedder, embed
 from ..operators.metrics import best_candidates, classification_report
 
 REGISTRY: dict[str, type[Model]] = {}
@@ -123,8 +123,7 @@ class EmbeddingSVM(Model):
         factory: Callable = self.options.get("make", HashingEmbedder)
         prefix = self.options.get("instruction", "").format(property=prop)
         said = F.coalesce(F.col(text), F.lit(""))
-        vector = embed(F.concat(F.lit(prefix), said) if prefix and not self.options.get("shared", True) else said, factory)
-        return normalised(vector) if self.options.get("normalise", True) else vector
+        return embed(F.concat(F.lit(prefix), said) if prefix and not self.options.get("shared", True) else said, factory, unit=self.options.get("normalise", True))
 
     def train(self, df: DataFrame, text: str) -> EmbeddingSVM:
         """Fit on the rows with a text; per property on those with a label. A label of one kind gives a constant."""
@@ -185,7 +184,7 @@ class CandidateModel(Model):
 
     def _candidates(self, df: DataFrame, key: str, text: str) -> DataFrame:
         found = values.numeric_candidates(df, key, text, self.options.get("low"), self.options.get("high"))
-        return found.withColumn("__x", array_to_vector(normalised(embed("context", self.options.get("make", HashingEmbedder)))))
+        return found.withColumn("__x", array_to_vector(embed("context", self.options.get("make", HashingEmbedder), unit=True)))
 
     def train(self, df: DataFrame, text: str) -> CandidateModel:
         """A candidate's class is the first property whose value it equals; labels of fewer than two kinds raise."""
@@ -193,8 +192,11 @@ class CandidateModel(Model):
 
         names = [p.name for p in self.category.properties]
         rows = df.withColumn("__key", F.monotonically_increasing_id()).cache()
-        truth = rows.select("__key", *[values.as_number(F.col(n)).alias(n) for n in names])
-        labelled = self._candidates(rows, "__key", text).join(truth, "__key").withColumn("__c", F.coalesce(first_close_column(truth, "value", names), F.lit("none")))
+        own = {f"__t{k}": n for k, n in enumerate(names)}  # apart from the candidates' columns
+        truth = rows.select("__key", *[values.as_number(F.col(n)).alias(t) for t, n in own.items()])
+        close = first_close_column(truth, "value", list(own))
+        named = F.element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), close)
+        labelled = self._candidates(rows, "__key", text).join(truth, "__key").withColumn("__c", F.coalesce(named, F.lit("none")))
         counts = {r["__c"]: r["count"] for r in labelled.groupBy("__c").count().collect()}
         if len(counts) < 2:
             raise ValueError("the labels have fewer than two classes")

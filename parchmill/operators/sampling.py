@@ -34,11 +34,9 @@ def systematic_sample(df: DataFrame, value: str, key: str, per: int = 8, bucket_
 
 def bucket_sample(df: DataFrame, value: str, key: str, per: int = 5, width: float = 0.1, seed: int = 42) -> DataFrame:
     """Up to ``per`` rows of each bucket of the data's own range, by a hash of the key; a value on the top edge is in no bucket."""
-    edge = df.agg(F.floor(F.min(value) / width).alias("a"), F.ceil(F.max(value) / width).alias("b")).first()
-    if edge["a"] is None:
-        return df.withColumn("bucket", F.lit(None).cast("int")).limit(0)
-    low, high = float(edge["a"]) * width, float(edge["b"]) * width
-    placed = df.withColumn("bucket", bucket(value, width, low, high)).filter(F.col("bucket").isNotNull())
+    step = F.floor(F.col(value) / F.lit(width) + F.lit(1e-9)).cast("int")
+    end = df.agg(F.ceil(F.max(value) / F.lit(width) - F.lit(1e-9)).cast("int").alias("b")).first()["b"]
+    placed = df.withColumn("bucket", step).filter(F.col("bucket") < F.lit(end))
     order = Window.partitionBy("bucket").orderBy(F.xxhash64(key, F.lit(seed)), key)
     return placed.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per).drop("__n")
 

@@ -39,7 +39,7 @@ def extract(records: DataFrame, config: ProcessConfig, key: str = "id", text: st
 def score(found: DataFrame, config: ProcessConfig, make: Callable = vectors.HashingEmbedder, text: str = "context", into: str = "similarity_score") -> DataFrame:
     """Windows with their cosine to the reference text, rounded to 4 digits; each distinct text is embedded once."""
     reference = np.asarray(make()([config.reference])[0], float).tolist()
-    distinct = found.select(text).distinct().withColumn(into, F.round(vectors.cosine(vectors.embed(text, make), reference), 4))
+    distinct = found.select(text).distinct().withColumn("__v", vectors.embed(text, make)).withColumn(into, F.round(vectors.cosine("__v", reference), 4)).drop("__v")
     return found.join(distinct, text, "left")
 
 

@@ -17,18 +17,20 @@ CONTAINERS = {"html": "text", "htm": "text", "txt": "text", "xml": "text", "pdf"
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, pattern: str = "*.json", recursive: bool = False) -> DataFrame:
-    """Records of JSON files (arrays or objects) with their ``file``; files that aren't JSON give no rows."""
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    reader = spark.read.schema(whole).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", pattern)
-    rows = reader.option("recursiveFileLookup", recursive).json(path).withColumn("file", F.col("_metadata.file_name"))
-    return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    """Records of JSON files (arrays or objects) with their ``file`` and ``path``; files or lines that aren't JSON give no rows.
+
+    The parser sees the whole text, so a plan that needs no field of a record still tells broken files from good ones.
+    """
+    reader = spark.read.option("wholetext", multi_line).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    texts = reader.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified_at"), "value")
+    return texts.select("file", "path", "modified_at", F.explode(F.from_json("value", T.ArrayType(schema))).alias("__r")).filter(F.col("__r").isNotNull()).select("__r.*", "file", "path", "modified_at")
 
 
 def search_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, settings…, created_at): search queries of a config folder; missing texts are empty, missing lists empty."""
     if "://" not in path and not Path(path).exists():
         Path(path).mkdir(parents=True)
-    rows = read_json(spark, path, SEARCH_CONFIG, pattern="*").withColumn("created_at", F.col("_metadata.file_modification_time"))
+    rows = read_json(spark, path, SEARCH_CONFIG, pattern="*").withColumnRenamed("modified_at", "created_at")
     parts = rows.select("file", "created_at", F.explode("queries").alias("query_id", "q")).select("query_id", "q.*", "file", "created_at")
     texts = {f.name: F.coalesce(f.name, F.lit("")) for f in parts.schema if isinstance(f.dataType, T.StringType) and f.name not in ("query_id", "file")}
     lists = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in parts.schema if isinstance(f.dataType, T.ArrayType)}
@@ -137,11 +139,11 @@ def metric_files(spark: SparkSession, path: str) -> DataFrame:
 
 def evaluations(spark: SparkSession, path: str, skip: tuple[str, ...] = ("graphics", "categories")) -> DataFrame:
     """(file, folder, model_name, task, label, class, metric, value): evaluation reports of a tree in long form."""
-    rows = read_json(spark, path, EVALUATION, recursive=True).withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    rows = read_json(spark, path, EVALUATION, recursive=True).withColumn("folder", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     rows = rows.filter(~F.col("folder").isin(list(skip)) & (F.size("evaluation_results") > 0))
     for column, name in (("evaluation_results", "task"), ("v0", "label"), ("v1", "class")):
         depth = {"task": 0, "label": 1, "class": 2}[name]
-        keep = [c for c in rows.columns if c not in (column, "kwargs", "class_name", "model_input")]
+        keep = [c for c in rows.columns if c not in (column, "kwargs", "class_name", "model_input", "path", "modified_at")]
         rows = rows.select(*keep, F.explode(column).alias(name, f"v{depth}"))
     return rows.select("file", "folder", "model_name", "task", "label", "class", F.explode(F.from_json("v2", "map<string,double>") if isinstance(rows.schema["v2"].dataType, T.StringType) else F.col("v2")).alias("metric", "value"))
 
