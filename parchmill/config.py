@@ -137,3 +137,56 @@ def unique_properties(categories: list[Category]) -> dict[str, str]:
         for name, kind in c.types.items():
             out.setdefault(name, kind)
     return out
+
+
+@dataclass(frozen=True)
+class Projects:
+    """Project folders under a root: one file with sections each, and a marker that names the active one."""
+
+    root: Path
+
+    MARKER = "ACTIVE"
+    SECTIONS = ("crawl", "preprocess", "classification")
+
+    def path(self, name: str) -> Path:
+        return Path(self.root) / name / "project.json"
+
+    def create(self, name: str, values: dict | None = None) -> dict:
+        """A new project, its sections empty or given; an existing one raises."""
+        if self.path(name).exists():
+            raise FileExistsError(name)
+        made = deep_merge({"name": name, **{s: {} for s in self.SECTIONS}}, values or {})
+        save_json(self.path(name), made)
+        return made
+
+    def names(self) -> list[str]:
+        return sorted(p.parent.name for p in Path(self.root).glob("*/project.json"))
+
+    def load(self, name: str, defaults: dict | None = None) -> dict:
+        """A project with its sections (dictionaries or paths of JSON files) merged over defaults."""
+        values, defaults = load_json(self.path(name)), defaults or {}
+        return {**values, **{s: resolve_section(values.get(s), defaults.get(s, {}), self.path(name).parent) for s in self.SECTIONS}}
+
+    def update(self, name: str, section: str, changes: dict) -> dict:
+        """Changes merged into one section; a section that is a file is changed in that file."""
+        values = load_json(self.path(name))
+        if isinstance(values.get(section), str):
+            file = Path(values[section]) if Path(values[section]).is_absolute() else self.path(name).parent / values[section]
+            return load_json(save_json(file, deep_merge(load_json(file), changes)))
+        values[section] = deep_merge(values.get(section) or {}, changes)
+        save_json(self.path(name), values)
+        return values[section]
+
+    def activate(self, name: str | None) -> None:
+        """Make a project the active one; None deactivates."""
+        marker = Path(self.root) / self.MARKER
+        if name is None:
+            marker.unlink(missing_ok=True)
+            return
+        if not self.path(name).exists():
+            raise FileNotFoundError(name)
+        marker.write_text(name, encoding="utf-8")
+
+    def active(self) -> str | None:
+        marker = Path(self.root) / self.MARKER
+        return marker.read_text(encoding="utf-8").strip() if marker.exists() else None

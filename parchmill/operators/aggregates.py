@@ -76,8 +76,14 @@ def last_non_default(df: DataFrame, key: str, order: list[str], defaults: dict[s
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``df`` with ``is_duplicate``: every row of a key but the first by ``order``."""
-    return df.withColumn("is_duplicate", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1)
+    """``df`` with ``is_duplicate``: every row of a key but the first by ``order``, which must tell a key's rows apart.
+
+    The first of each key comes from an aggregate with partial results, and the rows are held against it by a join
+    that splits skewed keys; no task sorts a whole key. Null keys are keys.
+    """
+    first = df.groupBy(*[F.col(k).alias(f"__k{k}") for k in keys]).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("__first"))
+    same = [df[k].eqNullSafe(first[f"__k{k}"]) for k in keys]
+    return df.join(first, same).select(*[df[c] for c in df.columns], (F.struct(*[df[c] for c in order]) != F.col("__first")).alias("is_duplicate"))
 
 
 def distinct_first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

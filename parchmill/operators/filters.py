@@ -96,3 +96,11 @@ def stale_reports(reports: DataFrame, model: str = "model", cls: str = "class")
     """(model, stale): whether any field of a model's report counts ``wrong_value`` cases; ``reports`` has (metric, value)."""
     wrong = (F.col(cls) == "wrong_value") & (F.col("metric") == "support") & (F.col("value") > 0)
     return reports.groupBy(model).agg(F.coalesce(F.bool_or(wrong), F.lit(False)).alias("stale"))
+
+
+def by_prefix(df: DataFrame, column: str, roles: dict[str, str], into: str = "role") -> DataFrame:
+    """Rows whose value starts with one of a few prefixes, with that prefix's role (the first that fits)."""
+    role = F.lit(None).cast("string")
+    for prefix, name in reversed(roles.items()):
+        role = F.when(F.startswith(F.col(column), F.lit(prefix)), F.lit(name)).otherwise(role)
+    return df.withColumn(into, role).filter(F.col(into).isNotNull())

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import grid
+from .joins import grid, small
+from .running import running, spread
 
 
 def _ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -92,16 +93,22 @@ def pr_curve(df: DataFrame, score: str, truth: Column, by: list[str]) -> DataFra
     Rows fold by score before the running sums, which pass over distinct scores only.
     """
     steps = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(truth).alias("p"), F.count_if(~F.coalesce(truth, F.lit(False))).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = steps.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(Window.partitionBy(*by)).alias("__all"))
+    steps = steps.withColumn("__one", F.lit(0))
+    place, groups = spread(steps, "score", descending=True), [*by, "__one"]
+    sums = running(running(steps, groups, place, [F.desc("score")], "p", "tp"), groups, place, [F.desc("score")], "n", "fp")
+    whole = steps.groupBy(*groups).agg(F.sum("p").alias("__all"))
+    sums = sums.join(small(whole), groups)
     return sums.select(*by, "score", "tp", "fp", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("__all")).alias("recall"))
 
 
 def average_precision(curve: DataFrame, by: list[str]) -> DataFrame:
     """(by…, average_precision): sum of the steps of recall times precision."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    step = curve.withColumn("__d", F.col("recall") - F.coalesce(F.lag("recall").over(down), F.lit(0.0)))
-    return step.groupBy(*by).agg(F.sum(F.col("__d") * F.col("precision")).alias("average_precision"))
+    # a step of recall is the true cases of its score over all of them; the last row has all of them
+    last = curve.groupBy(*by).agg(F.max("tp").alias("__all"))
+    once = curve.withColumn("__one", F.lit(0))
+    before = running(once, [*by, "__one"], spread(once, "score", descending=True), [F.desc("score")], "tp", "__prior", "max", inclusive=False)
+    step = (F.col("tp") - F.coalesce("__prior", F.lit(0))) / F.col("__all")
+    return before.join(small(last), by).groupBy(*by).agg(F.coalesce(F.sum(step * F.col("precision")), F.lit(0.0)).alias("average_precision"))
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -117,11 +124,10 @@ def pareto(df: DataFrame, cost: str, quality: str, by: list[str] | None = None)
     Rows fold to the best of each cost before the running maximum.
     """
     by = by or []
-    order = Window.partitionBy(*by).orderBy(cost)
-    best = df.filter(F.col(cost).isNotNull() & F.col(quality).isNotNull()).groupBy(*by, cost).agg(F.max(quality).alias(quality))
-    before = F.max(quality).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("__b", before).filter(F.col("__b").isNull() | (F.col(quality) > F.col("__b"))).drop("__b")
-    return df.join(F.broadcast(front) if front.limit(10_001).count() <= 10_000 else front, [*by, cost, quality], "left_semi")
+    best = df.filter(F.col(cost).isNotNull() & F.col(quality).isNotNull()).groupBy(*by, cost).agg(F.max(quality).alias(quality)).withColumn("__one", F.lit(0))
+    ran = running(best, [*by, "__one"], spread(best, cost), [cost], quality, "__b", "max", inclusive=False)
+    front = ran.filter(F.col("__b").isNull() | (F.col(quality) > F.col("__b"))).drop("__b", "__one")
+    return df.join(small(front), [*by, cost, quality], "left_semi")
 
 
 def best_per_group(df: DataFrame, group: str, order: list[Column | str]) -> DataFrame:
@@ -142,6 +148,20 @@ def positive_metric(report: DataFrame, metric: str = "f1-score", keys: list[str]
     return one.select(*keys, F.when(F.col("x.n") > 0, F.col("x.v")).alias("value"))
 
 
+def route_labels(report: DataFrame, block: str, tasks: dict[str, list[str]], keys: list[str] = ("model",)) -> DataFrame:
+    """A report in long form with the labels of one task ``block`` given to the tasks that own them.
+
+    Where a model's report has the owning task already, that counts and the block's part is left out. Labels that no
+    task owns are left out as well.
+    """
+    owner = F.lit(None).cast("string")
+    for task, labels in tasks.items():
+        owner = F.when(F.col("label").isin(labels), F.lit(task)).otherwise(owner)
+    own = report.filter(F.col("task") != block)
+    moved = report.filter(F.col("task") == block).withColumn("task", owner).filter(F.col("task").isNotNull())
+    return own.unionByName(moved.join(own.select(*keys, "task").distinct(), [*keys, "task"], "left_anti").select(own.columns))
+
+
 def supports(report: DataFrame, keys: list[str] = ("label",)) -> DataFrame:
     """(keys…, support, value_support, n_test) of reports in long form."""
     s = F.when(F.col("metric") == "support", F.col("value"))

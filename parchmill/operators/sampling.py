@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import rows_at
+
 
 def top_and_bottom(df: DataFrame, value: str, key: str, n: int = 10) -> DataFrame:
     """The ``n`` greatest and least rows with ``side`` (top or bottom); a report of bounded size."""
@@ -26,10 +28,9 @@ def systematic_sample(df: DataFrame, value: str, key: str, per: int = 8, bucket_
     The place of the k-th is the half-even rounding of k·n/(per+1).
     """
     placed = df.withColumn("bucket", bucket_of if bucket_of is not None else bucket(value)).filter(F.col("bucket").isNotNull())
-    each = Window.partitionBy("bucket")
-    ranked = placed.withColumn("__i", F.row_number().over(each.orderBy(value, key)) - 1).withColumn("__n", F.count("*").over(each))
-    wanted = F.transform(F.sequence(F.lit(1), F.lit(per)), lambda k: F.rint(k * F.col("__n") / F.lit(float(per + 1))).cast("int"))
-    return ranked.filter((F.col("__n") <= per) | F.array_contains(wanted, F.col("__i"))).drop("__i", "__n")
+    even = F.transform(F.sequence(F.lit(1), F.lit(per)), lambda k: F.rint(k * F.col("n") / F.lit(float(per + 1))).cast("long"))
+    all_ = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda k: k.cast("long"))
+    return rows_at(placed, "bucket", value, key, F.when(F.col("n") <= per, all_).otherwise(even))
 
 
 def bucket_sample(df: DataFrame, value: str, key: str, per: int = 5, width: float = 0.1, seed: int = 42) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parchmill.operators import aggregates, filters, joins, metrics, sampling
+from parchmill.operators import aggregates, filters, joins, metrics, running, sampling
 from tests.conftest import rows
 
 
@@ -133,3 +133,35 @@ def test_curves(spark):
     assert math.isclose(metrics.average_precision(curve, ["g"]).first()[1], 0.5 * 1 + 0.5 * 2 / 3)
     with pytest.raises(ValueError):
         sampling.holdout(spark.range(1_000_001), ["id"])
+
+
+def test_running_against_loops(spark):
+    rng = random.Random(1)
+    data = [(rng.choice(["x", "y", None]), k, rng.randint(0, 9)) for k in range(300)]
+    df = spark.createDataFrame(data, "g string, k int, v int")
+    place = F.floor(F.col("k") / 7)
+    sums = {r["k"]: r["s"] for r in running.running(df, ["g"], place, ["k"], "v", "s").collect()}
+    tops = {r["k"]: r["s"] for r in running.running(df, ["g"], place, ["k"], "v", "s", "max", inclusive=False).collect()}
+    total, top = {}, {}
+    for g, k, v in data:
+        assert tops[k] == top.get(g)
+        total[g], top[g] = total.get(g, 0) + v, max(top.get(g, v), v)
+        assert sums[k] == total[g]
+
+
+def test_rows_at_places(spark):
+    rng = random.Random(3)
+    data = [(rng.choice("ab"), rng.choice([rng.random(), 0.5]), k) for k in range(400)]
+    df = spark.createDataFrame(data, "g string, v double, k int")
+    got = rows(running.rows_at(df, "g", "v", "k", F.array(F.lit(0), F.lit(7), F.col("n") - 1), bins=13))
+    want = []
+    for g in "ab":
+        own = sorted((r for r in data if r[0] == g), key=lambda r: (r[1], r[2]))
+        want += [own[0], own[7], own[-1]]
+    assert got == sorted(want)
+
+
+def test_first_wins_with_null_keys(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1), (None, 3), (None, 4)], "k string, o int")
+    assert rows(aggregates.first_wins(df, ["k"], ["o"])) == [("a", 1, False), ("a", 2, True), (None, 3, False), (None, 4, True)]
+    assert rows(aggregates.distinct_first_seen(df, ["k"], ["o"]).select("o")) == [(1,), (3,)]
