@@ -5,8 +5,8 @@ finish time is the source's tokens up to it, divided by the source's weight. Doc
 by finish time and the order is cut at the total budget, so at every point of the order the sources have had their
 shares, as far as whole documents allow.
 
-Running sums are taken in two steps, sums of buckets and sums within a bucket, so no source and no order ever passes
-through one task. Only keys and sizes are shuffled, never texts.
+Running sums are taken in two steps (:mod:`..operators.running`), so no source and no order ever passes through one
+task. Only keys and sizes are shuffled, never texts.
 
 Defined results: null and empty texts have no tokens and are left out; sources without a target, and targets of share
 0, are left out; a source that runs out of repetitions stays below its share, which the report shows; other columns
@@ -19,9 +19,10 @@ import base64
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import bucket_count, running
 from ..session import cut
 from .arrow import map_batches
 
@@ -58,24 +59,6 @@ def token_counts(df: DataFrame, key: str, text: str, keep: list[str], ranks: str
     return map_batches(source, make, schema)
 
 
-def running_sum(df: DataFrame, groups: list[str], bucket, order: list, value: str, into: str) -> DataFrame:
-    """``df`` with the sum of ``value`` up to and with each row of its group, in the order of ``bucket``, then ``order``.
-
-    ``bucket`` must rise with the order. Sums of buckets are added up first, then rows within their bucket.
-    """
-    placed = df.withColumn("__bucket", bucket)
-    sums = placed.groupBy(*groups, "__bucket").agg(F.sum(value).alias("__sum"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # the tables of bucket sums are small beside df, and their keys spread evenly
-    joined = placed.join(before.drop("__sum"), [*groups, "__bucket"])
-    within = Window.partitionBy(*groups, "__bucket").orderBy(*order)
-    return joined.withColumn(into, F.col("__before") + F.sum(value).over(within)).drop("__bucket", "__before")
-
-
-def _buckets(rows: int) -> int:
-    return min(100_000, max(8, rows // 20_000))
-
-
 def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source", ranks: str = RANKS) -> DataFrame:
     """(position, key, source, copy, tokens): the chosen documents in their order; ``position`` counts tokens before it.
 
@@ -90,18 +73,18 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     facts = totals.agg(F.min(F.col("total") * F.col("max_repeats") / F.col("weight")).alias("fills"), F.sum(F.col("n") * F.col("max_repeats")).alias("rows")).first()
     if budget is None:
         budget = int(facts["fills"] or 0)
-    parts = _buckets(facts["rows"] or 0)
+    parts = bucket_count(facts["rows"] or 0)
     copies = sized.withColumn("copy", F.explode(F.sequence(F.lit(1), "max_repeats")))
     shuffled = copies.withColumn("h", F.xxhash64("id", "copy", F.lit(seed)))
     spread = F.floor((F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))) * parts)
-    ordered = running_sum(shuffled, ["source", "copy"], spread, [F.shiftrightunsigned("h", 1), "h", "id"], "tokens", "upto")
+    ordered = running(shuffled, ["source", "copy"], spread, [F.shiftrightunsigned("h", 1), "h", "id"], "tokens", "upto")
     per = totals.select("source", "total")
     ordered = ordered.join(F.broadcast(per) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else per, "source")
     timed = ordered.withColumn("finish", ((F.col("copy") - 1) * F.col("total") + F.col("upto")) / F.col("weight"))
     timed = cut(timed.select("id", "source", "copy", "tokens", "finish"), "finish")
     last = timed.agg(F.max("finish").alias("m")).first()["m"] or 1.0
     place = F.least(F.floor(F.col("finish") / F.lit(last) * parts), F.lit(parts - 1))
-    queued = running_sum(timed.withColumn("one", F.lit(0)), ["one"], place, ["finish", "source", "id", "copy"], "tokens", "total")
+    queued = running(timed.withColumn("one", F.lit(0)), ["one"], place, ["finish", "source", "id", "copy"], "tokens", "total")
     return queued.filter(F.col("total") <= budget).select((F.col("total") - F.col("tokens")).alias("position"), F.col("id").alias(key), "source", "copy", "tokens")
 
 

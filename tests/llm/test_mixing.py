@@ -45,13 +45,3 @@ def test_budget_and_order(spark, tables):
     assert everything.groupBy("source").agg(F.max("copy").alias("m")).filter("source = 'c'").first()["m"] == 4
     assert mixing.mixture(docs.limit(0), targets).count() == 0
 
-
-def test_running_sum(spark):
-    rng = random.Random(1)
-    data = [(rng.choice("xy"), k, rng.randint(0, 9)) for k in range(300)]
-    df = spark.createDataFrame(data, "g string, k int, v int")
-    got = mixing.running_sum(df, ["g"], F.floor(F.col("k") / 7), ["k"], "v", "s").collect()
-    sums = {}
-    for g, k, v in data:
-        sums[g] = sums.get(g, 0) + v
-        assert next(r["s"] for r in got if r["k"] == k) == sums[g]
