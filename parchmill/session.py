@@ -36,10 +36,10 @@ def session(master: str | None = None, app: str = "parchmill", **conf: str) -> S
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only where none is set (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+        return named.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="parchmill-")
     spark.conf.set("spark.checkpoint.dir", made)
