@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .forms import TWINS, _klass, plain_table
+from .forms import GREEK_CYRILLIC, LATIN, TWINS, _klass, plain_table
 
 REACH = 40
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
@@ -45,6 +45,8 @@ Inc Ltd Co Corp Cos Bros Jr Esq Ph.D M.D LL.M etc usw Inh al ibid U.S U.K U.N E.
 """.split())
 #: Of the abbreviations above, those that no name ends with.
 NO_NAME = frozenset("a.m p.m A.M P.M etc usw Ph.D M.D U.S U.K U.N E.U al ibid".split())
+#: Of the abbreviations above, those that may end a sentence in capitals as well.
+PLAIN_ENDS = frozenset("a.m p.m etc usw ph.d m.d jr esq".split())
 #: Abbreviations that go on if a figure follows.
 BEFORE_FIGURE = frozenset("No Nos no nos Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec pts г".split())
 #: Words that label the single letter after them.
@@ -66,12 +68,15 @@ BEFORE_ORDINAL = frozenset("am Am im Im der Der die Die das Das dem den des vom
 
 _dropped = frozenset(c for c, v in plain_table().items() if not v)
 _drop = re.compile(_klass(_dropped))
-_view = {ord(c): v[0] for c, v in plain_table().items() if v and (v[0].isalnum() or v[0] in " .") and c not in STOPS.replace("．", "")} | {ord(c): " " for c in "\t\r\x0b\x0c\x85\u2028\u2029"}
+_view = {ord(c): v for c, v in plain_table().items() if len(v) == 1 and (v.isalnum() or v in " .") and c not in STOPS.replace("．", "")} | {ord(c): " " for c in "\t\r\x0b\x0c\x85\u2028\u2029"}
 _special = re.compile(_klass(map(chr, _view)))
 _plain = {chr(c): v for c, v in _view.items()}
 _twins = {ord(c): t[0] for c, t in TWINS.items()}
 _shut = re.escape(CLOSERS)
-_end = re.compile(f"[{STOPS}]+(?:[{_shut}]*(?=[{CJK}])|[{_shut}“]*(?= |\n|$)| ?[»›]+(?= |\n|$)|(?<=[{HARD}！？])[{_shut}]*|(?<=[!?])(?=[{CJK}]))")
+_end = re.compile(f"[{STOPS}]+(?:[{_shut}]*(?=[{CJK}])|[{_shut}“]*(?= |\n|$)| ?[»›]+(?= |\n|$)|(?<=[{HARD}！？])[{_shut}]*|(?<=[{CJK}][!?])[{_shut}]*|(?<=[!?])(?=[{CJK}]))")
+_foreign = re.compile(f"[{GREEK_CYRILLIC}]")
+_latin = re.compile(f"[{LATIN}]")
+_word = re.compile(r"[^\W\d_]+")
 _thai = re.compile("(?<=[ก-ฺเ-๎])[ \n]+(?=[ก-ฮเ-ๆ])")
 _marks = re.compile('[' + "".join(map(re.escape, {*PAIRS, *"".join(PAIRS.values()), '"'})) + "]")
 _paragraph = re.compile("\n[^\\S\n]*(?:\n[^\\S\n]*)+")
@@ -114,7 +119,7 @@ def _known(word: str, words: frozenset) -> bool:
 
 @lru_cache(maxsize=100_000)
 def _looks_known(word: str, words: frozenset) -> bool:
-    word = unicodedata.normalize("NFC", word)
+    word = unicodedata.normalize("NFKC", word)
     return word in words or word.translate(_twins) in words
 
 
@@ -146,7 +151,7 @@ def _closing(block: str, stop: int, marks: str, nxt: str, gap: bool) -> float:
     """How well the word before ``stop``, with its marks, closes a sentence before ``nxt``."""
     if any(m in HARD for m in marks):
         return -9 if not gap and block[stop + len(marks)] in CLOSERS and nxt[:1] in "，、と" else 9
-    if ("！" in marks or "？" in marks) and (not gap or (stop and block[stop - 1] > "⺀")):
+    if any(m in "！？!?" for m in marks) and (not gap or (stop and block[stop - 1] > "⺀")):
         return 9
     cut = block.rfind(" ", 0, stop) + 1
     word = block[cut:stop]
@@ -193,7 +198,7 @@ def _closing(block: str, stop: int, marks: str, nxt: str, gap: bool) -> float:
     if _known(word, MAY_END) or _initials.match(word):
         if word not in NO_NAME and _bare(nxt) in NAME_PARTS:
             return -9
-        return -1 if not shouting or nxt.capitalize() in OPENERS else -8
+        return -1 if not shouting or word.lower() in PLAIN_ENDS or nxt.capitalize() in OPENERS else -8
     if "ऀ" <= last <= "ॿ":
         return 1 if len(word) > 4 else -6
     return 3
@@ -277,6 +282,8 @@ def units(text: str, wrapped: bool = False) -> list[tuple[int, int]]:
             view = "".join([text[i] for i in kept])
     if _special.search(view):
         view = _special.sub(lambda m: _plain[m.group()], view)
+    if _foreign.search(view) and _latin.search(view):
+        view = _word.sub(lambda m: m.group() if m.group().isascii() or not _latin.search(m.group()) else m.group().translate(_twins), view)
     thai = not view.isascii() and _thai.search(view) is not None
     out: list[tuple[int, int]] = []
     blocks = []

@@ -59,6 +59,9 @@ def test_lines_and_wrapping():
 def test_invisible_and_odd_characters_keep_positions():
     text = "Re​sults of D­r. Foo rose. Ｓｅｅ Ｎｏｔｅ ５． Next."
     assert cut(text) == ["Re​sults of D­r. Foo rose.", "Ｓｅｅ Ｎｏｔｅ ５．", "Next."]
+    assert cut("Gemäß Ziﬀ. 34 ist es neu. Am 5. Аpril kam er. By X Corp. Invеstor Relations, www.x.example") == ["Gemäß Ziﬀ. 34 ist es neu.", "Am 5. Аpril kam er.", "By X Corp. Invеstor Relations, www.x.example"]
+    assert cut("満足度も改善した!「在庫が大切だ。」と述べた。次?5点。") == ["満足度も改善した!", "「在庫が大切だ。」と述べた。", "次?", "5点。"]
+    assert cut("IT OPENS AT 7 A.M. DORMANT COSTS ROSE, ETC. MODEST GAINS IN THE U.K. BUSINESS FOLLOWED.") == ["IT OPENS AT 7 A.M.", "DORMANT COSTS ROSE, ETC.", "MODEST GAINS IN THE U.K. BUSINESS FOLLOWED."]
     assert cut("THE CLINIC OF KESHUME S.A. HAS NOT BEEN APPROVED. They know.") == ["THE CLINIC OF KESHUME S.A. HAS NOT BEEN APPROVED.", "They know."]
 
 
