@@ -1,4 +1,4 @@
-"""Plans: raw records to scored windows, windows to classified filings, filings to exports. Each is one lazy plan."""
+"""Plans: raw records to scored windows, windows to classified filings, filings to exports."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from ..config import Category, ProcessConfig
 from ..functions import html, vectors, windows
 from ..models.base import Model
 from ..operators import aggregates, filters, joins
+from ..session import cut
 from ..sources import writers
 
 
@@ -30,8 +31,11 @@ def clean(records: DataFrame, config: ProcessConfig, key: str = "id", text: str
 
 
 def extract(records: DataFrame, config: ProcessConfig, key: str = "id", text: str = "core_text") -> tuple[DataFrame, DataFrame]:
-    """The folded windows of records, and (key, excluded_count) of the records that an excluded phrase drops."""
-    found = windows.context_windows(records, key, text, config.rule)
+    """The folded windows of records, and (key, excluded_count) of the records that an excluded phrase drops.
+
+    The windows are cut into a table once, as several steps read them; they are small beside the texts.
+    """
+    found = cut(windows.context_windows(records, key, text, config.rule), "windows")
     kept, excluded = windows.exclude_documents(found, key, config.rule.excluded)
     return windows.fold_windows(kept, key), excluded
 
