@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from html.entities import html5
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Category, ProcessConfig
@@ -16,17 +18,38 @@ from ..session import cut
 from ..sources import writers
 
 
+def may_mention(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text with markup can mention a phrase once it is cleaned; never false for one that does.
+
+    Cleaning parts words but never joins letters, but for signatures and references (``&#110;``, ``&fjlig;``), which pass
+    as they are. So the letters and digits between a phrase's other characters must stand in the text already.
+    """
+    low, letters = F.lower(text), set("".join(phrases))
+    out = F.contains(low, F.lit("&#")) | F.contains(low, F.lit("/s/"))
+    names = sorted(n for n, v in html5.items() if any(ch.isalnum() and ch in letters for ch in v.lower()))
+    if names:
+        out = out | text.rlike("&(?:" + "|".join(names) + ")")
+    for p in phrases:
+        every = F.lit(True)
+        for word in re.findall(r"[^\W_]+", p):
+            every = every & F.contains(low, F.lit(word))
+        out = out | every
+    return out
+
+
 def clean(records: DataFrame, config: ProcessConfig, key: str = "id", text: str = "core_text") -> DataFrame:
-    """``records`` with cleaned texts; records without any phrase skip the HTML step's cost, as they give no window.
+    """``records`` with cleaned texts; those whose cleaned text can't mention a phrase are left out, as they give no window.
 
-    The native test goes first. A text without markup is only respaced, in the JVM.
+    The tests are native. They look at the text as cleaning leaves it: with plain spaces, or by the phrases' words where
+    there is markup. A text without markup is only respaced, in the JVM.
     """
-    low, some = F.lower(F.col(text)), F.lit(False)
-    for p in config.rule.phrases:
-        some = some | F.contains(low, F.lit(p))
+    phrases, plain_text = config.rule.phrases, html.plain_spaces(F.col(text))
+    some = F.contains(F.lower(F.col(text)), F.lit("/s/"))  # a signature's end may join what stood around it
+    for p in phrases:
+        some = some | F.contains(F.lower(plain_text), F.lit(p))
     marked = F.contains(F.col(text), F.lit("<")) | F.contains(F.col(text), F.lit("&"))
-    parsed = records.filter(some & marked).withColumn(text, html.clean_html(text, list(config.rule.phrases), list(config.rule.excluded)))
-    plain = records.filter(some & ~marked).withColumn(text, html.strip_signatures(F.trim(html.plain_spaces(F.col(text)))))
+    parsed = records.filter(marked & may_mention(F.col(text), phrases)).withColumn(text, html.clean_html(text, list(phrases), list(config.rule.excluded)))
+    plain = records.filter(~marked & some).withColumn(text, html.strip_signatures(F.trim(plain_text)))
     return parsed.unionByName(plain)
 
 

@@ -30,6 +30,17 @@ def test_process_end_to_end(spark):
     assert rows(process.nested(decided).select("id", "status", F.size("context"))) == [("a", "accepted", 1), ("e", "accepted", 1)]
 
 
+def test_phrases_that_cleaning_puts_together(spark):
+    config = ProcessConfig(WindowRule(("nps", "net promoter")), 0.1, Scope(None), "nps score")
+    texts = [
+        "Our net\npromoter score rose.", "Our net\u00a0promoter score rose.", "Our net\rpromoter score rose.", "Our net&nbsp;promoter score rose.", "Our net <b>promoter</b> score rose.", "<p>Our net\npromoter score rose.</p>",
+        "Our net&#32;promoter score rose.", "Our &#110;ps rose.", "Our n&#x50;s rose.", "R&D and our NET <i>Promoter</i> score.",
+    ]
+    other = ["Our netting of promoters.", "The <b>net</b> income rose.", "R&D rose.", "n<b>p</b>s"]
+    records = spark.createDataFrame(list(enumerate(texts + other)), "id int, core_text string")
+    assert [r["id"] for r in process.process(records, config).select("id").distinct().orderBy("id").collect()] == list(range(len(texts)))
+
+
 def test_svm_and_roll_up(spark):
     data = [(f"s{k}", "the nps score rose strongly" if k % 2 else "weather was calm and mild", str(k % 2), None) for k in range(40)]
     train = spark.createDataFrame(data, "id string, text string, flag string, other string")
