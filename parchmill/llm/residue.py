@@ -58,6 +58,16 @@ LATIN = frozenset("lorem ipsum dolor sit amet consectetur consectetuer adipiscin
 LATIN_ONLY = frozenset("lorem ipsum dolor amet consectetur consectetuer adipiscing elit eiusmod tempor incididunt dolore aliqua veniam nostrud exercitation ullamco laboris aliquip commodo consequat reprehenderit voluptate cillum fugiat pariatur excepteur occaecat cupidatat proident deserunt mollit laborum".split())
 #: Phrases that fill a page until its text is there.
 FILLER = re.compile(r"(?:sample|dummy|filler|placeholder|example|test|blind|your|body) (?:text|paragraph|copy|content)|text goes here|replace (?:before|this)|platzhalter|blindtext|mustertext|texte? (?:de remplissage|fictif|factice|à remplacer)|texto (?:de relleno|de ejemplo|de prueba|simulado)|текст[- ]заполнитель|пример текста|рыба[- ]?текст|замените|ダミー|サンプルテキスト|占位|示例文[本字]|此处.{0,6}文[本字]|نص (?:تجريبي|بديل|عينة)|नमूना पाठ|ข้อความตัวอย่าง", re.I)
+#: One of these is part of every text, in lower case, that FILLER finds something in.
+_filler_signs = ("text", "paragraph", "copy", "content", "replace", "platzhalter", "текст", "замените", "ダミー", "サンプルテキスト", "占位", "示例文", "此处", "نص ", "नमूना", "ข้อความ")
+#: How a sentence of any length starts that says of itself that it is filler.
+SAYS_SO = re.compile(
+    r"\W*(?:(?:note|nb|hinweis|nota|remarque)\W+)?(?:"
+    rf"(?:this|these|here|the (?:following|above)|das|dies(?:er|es)?|hier|ceci|ce|cette|voici|ici|est[aeo]|aqu[íi]|это(?:т)?|здесь|هذا|هنا|यह|यहाँ)\s+(?:[^\W\d_]+\s+){{0,3}}?(?:{FILLER.pattern})"
+    rf"|(?:これは|ここ[にでは]*|この|以下は?|本[文段]|这[是里段]|這[是裡段]|此处|此處|以下是?|นี่คือ|ที่นี่)[^。！？\n]{{0,8}}?(?:{FILLER.pattern})"
+    r"|(?:please\s+)?replace (?:before|this)|(?:your |some |sample |dummy )?text goes here|bitte[^.!?]{0,20}platzhalter|(?:пожалуйста,? )?замените|此处.{0,6}文[本字]"
+    r")", re.I,
+)
 _mash = re.compile(r"(?:asdf|qwer|zxcv|jkl|hjkl|fdsa|wasd)[a-z]*|x{3,}|z{3,}|(?:bla|blah|foo|bar|baz|test|text|tbd|todo|dummy)")
 #: Sentences of error pages, each from its start.
 ERROR = re.compile(
@@ -92,25 +102,37 @@ def has_gap(text: str) -> bool:
     return _gap_sign.search(text) is not None and GAP.search(text) is not None
 
 
+def _is_latin(words: list[str]) -> bool:
+    n = len(words)
+    return n >= 3 and not LATIN_ONLY.isdisjoint(words) and sum(w in LATIN for w in words) >= 0.8 * n and sum(w in LATIN_ONLY for w in words) >= max(2, 0.25 * n)
+
+
+def _names_filler(low: str) -> bool:
+    return any(sign in low for sign in _filler_signs) and FILLER.search(low) is not None
+
+
 def is_filler(paragraph: str, words: list[str]) -> bool:
     """Whether a paragraph is nothing but filler; ``words`` are its words in lower case."""
     n = len(words)
     if n < 3:
         return False
-    if words[0] in LATIN or words[-1] in LATIN:
-        latin = sum(w in LATIN for w in words)
-        if latin >= 0.8 * n and sum(w in LATIN_ONLY for w in words) >= max(2, 0.25 * n):
-            return True
-    kinds = len(set(words[:40]))
-    if kinds > max(8, 0.5 * min(n, 40)):
-        return False
-    kinds = set(words)
-    if n >= 3 and all(_mash.fullmatch(w) for w in kinds):
+    if _is_latin(words):
         return True
-    if len(kinds) == 1 and n >= 4:
+    if n >= 3 and _mash.fullmatch(words[0]) and all(_mash.fullmatch(w) for w in words):
         return True
-    found = FILLER.search(paragraph)
-    return found is not None and len(kinds) <= max(8, n / 2) and n >= 3 and all(FILLER.search(s) for s in {paragraph[a:b].lower() for a, b in units(paragraph)})
+    if n >= 4 and words.count(words[0]) == n:
+        return True
+    low = paragraph.lower()
+    if not _names_filler(low):
+        return False
+    again = len(set(words)) <= n / 2  # the same over and over
+    for said in {low[a:b] for a, b in units(low)}:
+        if not _names_filler(said):
+            if not _is_latin(_words.findall(said)):
+                return False
+        elif not again and len(set(_words.findall(said))) > 8 and not SAYS_SO.match(said):
+            return False
+    return True
 
 
 def is_error_page(body: str) -> bool:

@@ -53,3 +53,14 @@ def test_simhash_of_parts_and_whole():
     assert len(got) == 4 and got[0] == got[2] and r.simhashes([parts[0]]) == [got[0], got[0]]
     near, far = (bin((r.simhashes([w])[0] ^ r.simhashes([[f"w{k}" for k in range(200)]])[0]) & (1 << 64) - 1).count("1") for w in ([f"w{k}" for k in range(198)] + ["a", "b"], [f"v{k}" for k in range(200)]))
     assert near < 8 < far
+
+
+def test_filler_is_judged_by_the_whole_paragraph():
+    def said(text):
+        return r.is_filler(text, r.levelled(text))
+
+    long = "This dummy text of the quarterly report stands here until the editors of the finance department send the approved figures and the final wording of all sections by next week. "
+    for text in [long * 5, "This is placeholder text that will be replaced before the report is released", "Draft: Lorem ipsum dolor sit amet consectetur adipiscing elit sed do (draft)", "Sample text goes here. Lorem ipsum dolor sit amet consectetur.", "Dies ist ein Platzhaltertext, der vor der Veröffentlichung des Berichts noch ersetzt werden muss."]:
+        assert said(text), text
+    for text in ["Our content strategy helped us win new customers in the second quarter of 2012 and beyond.", "The text of the notice is attached hereto as an exhibit and made a part of it. This is placeholder text."]:
+        assert not said(text), text
