@@ -90,6 +90,10 @@ ERROR = re.compile(
     ]) + ")", re.I,
 )
 _frame = re.compile(r"\s*(?:©|\(c\)|copyright\b)|[^.!?。！？।؟]*[|»›·][^.!?。！？।؟]*$|\s*(?:[^\s.!?。！？।؟]+\s+){0,3}[^\s.!?。！？।؟]+\s*$", re.I)
+#: Chinese and Japanese have no spaces: each of their characters is a word.
+_HAN_KANA = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+_han_kana = re.compile(f"[{_HAN_KANA}]")
+_cut_words = re.compile(rf"[{_HAN_KANA}]|[^\W_{_HAN_KANA}]+")
 _words = re.compile(r"[^\W_]+")
 _digits = re.compile(r"\d+(?:[.,]\d+)*")
 _host = re.compile(r"\b(?:https?://)?(?:www\.)[\w.-]+|\bhttps?://\S+", re.I)
@@ -102,6 +106,11 @@ def has_gap(text: str) -> bool:
     return _gap_sign.search(text) is not None and GAP.search(text) is not None
 
 
+def _cut(text: str) -> list[str]:
+    """The words of a text, with each Chinese or Japanese character as one."""
+    return (_words if text.isascii() or not _han_kana.search(text) else _cut_words).findall(text)
+
+
 def _is_latin(words: list[str]) -> bool:
     n = len(words)
     return n >= 3 and not LATIN_ONLY.isdisjoint(words) and sum(w in LATIN for w in words) >= 0.8 * n and sum(w in LATIN_ONLY for w in words) >= max(2, 0.25 * n)
@@ -114,8 +123,6 @@ def _names_filler(low: str) -> bool:
 def is_filler(paragraph: str, words: list[str]) -> bool:
     """Whether a paragraph is nothing but filler; ``words`` are its words in lower case."""
     n = len(words)
-    if n < 3:
-        return False
     if _is_latin(words):
         return True
     if n >= 3 and _mash.fullmatch(words[0]) and all(_mash.fullmatch(w) for w in words):
@@ -128,9 +135,9 @@ def is_filler(paragraph: str, words: list[str]) -> bool:
     again = len(set(words)) <= n / 2  # the same over and over
     for said in {low[a:b] for a, b in units(low)}:
         if not _names_filler(said):
-            if not _is_latin(_words.findall(said)):
+            if not _is_latin(_cut(said)):
                 return False
-        elif not again and len(set(_words.findall(said))) > 8 and not SAYS_SO.match(said):
+        elif not again and len(set(_cut(said))) > 8 and not SAYS_SO.match(said):
             return False
     return True
 
@@ -185,7 +192,7 @@ def levelled(text: str) -> list[str]:
     text = text.lower()
     if "www." in text or "http" in text:
         text = _host.sub("host", text)
-    return _words.findall(_digits.sub("0", text))
+    return _cut(_digits.sub("0", text))
 
 
 def levelled_lines(lines: list[str]) -> list[list[str]]:
@@ -193,7 +200,7 @@ def levelled_lines(lines: list[str]) -> list[list[str]]:
     text = "\n".join(lines).lower()
     if "www." in text or "http" in text:
         text = _host.sub("host", text)
-    return [_words.findall(line) for line in _digits.sub("0", text).split("\n")]
+    return [_cut(line) for line in _digits.sub("0", text).split("\n")]
 
 
 def _unit(words: list[str]) -> int:
@@ -236,8 +243,9 @@ def document_units(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -
                 put(i, False, -1, whole, label, hashes[-1])
                 if len(lines) > 1:
                     for n, (line, w) in enumerate(zip(lines, parts_words, strict=True)):  # every line has a word
-                        if len(w) >= 3:
-                            put(i, False, n, w, "filler" if is_filler(line, w) else None, hashes[n])
+                        filler = is_filler(line, w)
+                        if filler or len(w) >= 3:
+                            put(i, False, n, w, "filler" if filler else None, hashes[n])
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(gaps, pa.bool_()), pa.array(parts, pa.int32()), pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int32())], names=["id", "gap", "part", "unit", "label", "sim", "size"]
             )

@@ -64,3 +64,13 @@ def test_filler_is_judged_by_the_whole_paragraph():
         assert said(text), text
     for text in ["Our content strategy helped us win new customers in the second quarter of 2012 and beyond.", "The text of the notice is attached hereto as an exhibit and made a part of it. This is placeholder text."]:
         assert not said(text), text
+
+
+def test_filler_without_spaces(spark):
+    filler = ["ここにサンプルテキストが入ります。", "这是示例文本。", "此处为示例文字。此处为示例文字。", "これはダミーテキストです。"]
+    content = "本公司在二〇一二年的净推荐值为四十五，并于次年推广。"
+    for text in [content, "该公司的占位策略在2012年取得成功，并于次年在其他地区推广。"]:
+        assert not r.is_filler(text, r.levelled(text)), text
+    texts = [*filler, *[f"{content}\n{x}" for x in filler], f"{content}\nSample text.", content]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(r.residue_labels(df)) == [(k, "filler") for k in range(len(texts) - 1)]
