@@ -89,7 +89,7 @@ ERROR = re.compile(
         r"[^\n]{0,30}(?:เปิดใช้งาน|เปิดใช้)[^\n]{0,20}(?:java ?script|สคริปต์|จาวา)", r"[^\n]{0,20}ไม่พบหน้า", r"[^\n]{0,20}(?:เซิร์ฟเวอร์|ระบบ)[^\n]{0,10}(?:ผิดพลาด|ขัดข้อง)", r"(?:กรุณา|โปรด)[^\n]{0,20}(?:ลองใหม่|เปิดใช้|เข้าสู่ระบบ)",
     ]) + ")", re.I,
 )
-_frame = re.compile(r"\s*(?:©|\(c\)|copyright\b)|[^.!?。！？।؟]*[|»›·][^.!?。！？।؟]*$|\s*(?:[^\s.!?。！？।؟]+\s+){0,3}[^\s.!?。！？।؟]+\s*$", re.I)
+_frame = re.compile(r"\s*(?:©|\(c\)|copyright\b)|[^.!?。！？।؟|»›·]*[|»›·][^.!?。！？।؟]*$|\s*(?:[^\s.!?。！？।؟]+\s+){0,3}[^\s.!?。！？।؟]+\s*$", re.I)
 #: Chinese and Japanese have no spaces: each of their characters is a word.
 _HAN_KANA = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _han_kana = re.compile(f"[{_HAN_KANA}]")
@@ -152,7 +152,7 @@ def is_error_page(body: str) -> bool:
 def body_lines(text: str) -> list[str]:
     """The lines of a text, stripped, without menus, titles and copyright lines if anything else is left."""
     lines = [s for line in text.split("\n") if (s := line.strip()) and _words.search(s)]
-    if len(lines) > 1 and len(text) < 4_000:
+    if len(lines) > 1:
         return [line for line in lines if not _frame.match(line)] or lines
     return lines
 

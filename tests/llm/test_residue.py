@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from parchmill.llm import residue as r
@@ -74,3 +76,12 @@ def test_filler_without_spaces(spark):
     texts = [*filler, *[f"{content}\n{x}" for x in filler], f"{content}\nSample text.", content]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert rows(r.residue_labels(df)) == [(k, "filler") for k in range(len(texts) - 1)]
+
+
+def test_frame_lines_of_long_texts():
+    menu = "\n".join(f"Home | Search | Filings of the year {n} | Help" for n in range(150))
+    page = f"{menu}\n404 Not Found.\nThe requested document could not be located on this server.\n© 2020 X plc"
+    assert len(page) > 4_000 and r.body_lines(page) == ["404 Not Found.", "The requested document could not be located on this server."]
+    assert r.is_error_page(" ".join(r.body_lines(page)))
+    started = time.process_time()
+    assert len(r.body_lines("a |" * 100_000 + ".\nb c d e f.")) == 2 and time.process_time() - started < 5
