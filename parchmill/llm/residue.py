@@ -42,14 +42,19 @@ FILL_IN = "insert|enter|fill|add here|to be (?:added|completed|confirmed|determi
 FIELDS = "company|issuer|registrant|name|date|amount|title|address|city|state|number|year|quarter|period|ticker|value|score|percent|percentage|price|currency|client|customer|headline|summary|signature block"
 GAP = re.compile(
     "|".join([
-        r"\{\{[^{}\n]{0,200}\}\}", r"\{%[^%\n]{0,200}%\}", r"<%[^%\n]{0,200}%>", r"\$\{[^{}\n]{1,120}\}", r"%%[A-Za-z_][\w .-]{0,60}%%", r"@@[A-Za-z_][\w.-]{0,60}@@", r"\[\[[A-Za-z_][^\[\]\n]{0,80}\]\]", r"(?<![\w])__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?!\w)",
+        r"\{\{[^{}\n]*\}\}", r"\{%[^%\n]*%\}", r"<%[^%\n]*%>", r"\$\{[^{}\n]+\}", r"%%[A-Za-z_][\w .-]*%%", r"@@[A-Za-z_][\w.-]*@@", r"\[\[[A-Za-z_][^\[\]\n]*\]\]", r"(?<![\w])__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?!\w)",
         r"(?<![\w{])\{(?:\d|[A-Za-z_]\w*(?:[._]\w+)*)\}(?!\})", r"%\([A-Za-z_]\w*\)[sdf]", r"(?<!\S)%[sd](?!\w)",
         r"#(?:REF!|VALUE!|NAME\?|DIV/0!|N/A|NULL!|NUM!)", r"\[object Object\]",
-        rf"\[[^\[\]\n]{{0,60}}(?:{FILL_IN})[^\[\]\n]{{0,60}}\]", r"\[\s*(?:TBD|TBC|TBA|TODO|TK|N\.?N\.?|●+|•+|…+|\.{3,}|\?+|\*{2,}|_+|X{2,}(?:[.,/]X+)*)\s*\]", rf"\[\s*(?:the )?(?:{FIELDS})(?: (?:of )?(?:the )?(?:{FIELDS}))*\s*\]",
-        rf"<\s*(?:[^<>\n]{{0,40}}(?:{FILL_IN})[^<>\n]{{0,40}}|(?:{FIELDS})(?:[ _](?:{FIELDS}))*)\s*>",
+        r"\[\s*(?:TBD|TBC|TBA|TODO|TK|N\.?N\.?|●+|•+|…+|\.{3,}|\?+|\*{2,}|_+|X{2,}(?:[.,/]X+)*)\s*\]", rf"\[\s*(?:the )?(?:{FIELDS})(?: (?:of )?(?:the )?(?:{FIELDS}))*\s*\]",
+        rf"<\s*(?:{FIELDS})(?:[ _](?:{FIELDS}))*\s*>",
         r"(?<![A-Za-z])XX?[/.-]XX?[/.-](?:XXXX|20XX|XX)(?![A-Za-z])", r"(?<![A-Za-z])(?:DD[/.-]MM|MM[/.-]DD)[/.-]YY(?:YY)?(?![A-Za-z])", r"(?<!\w)(?:19|20)XX(?!\w)", r"[$€£]\s?(?:X{1,3}(?:[.,]X+)*|_{2,})(?!\w)", r"(?<!\w)X{2,}(?:[.,]X+)? ?%",
     ]), re.I,
 )
+_bracket = re.compile(r"\[([^\[\]\n]+)\]|<([^<>\n]+)>")
+_asks = re.compile(FILL_IN, re.I)
+#: In a long bracket the asking word is a word of its own, and markup with attributes asks for nothing.
+_asks_long = re.compile(rf"(?<![A-Za-z])(?:{FILL_IN})(?!ed\b|ing\b|ions?\b|s\b| into\b)", re.I)
+_plain_words = re.compile(r"\s*[^\W\d_](?![^=]*=)")
 _gap_sign = re.compile(r"[\[{<#@%_Xx$€£MmDd](?:(?<=[\[{<#])|(?<=@)@|(?<=%)[%(sd]|(?<=_)_|(?<=[Xx])[Xx]|(?<=[Xx])[/.-][Xx]|(?<=[$€£])\s?[Xx_]|(?<=[MmDd])[MmDd][/.-])")
 
 #: Words of the usual Latin filler.
@@ -103,7 +108,17 @@ _STEP = math.log(1.25)
 
 def has_gap(text: str) -> bool:
     """Whether a text in the one form has a gap of a template."""
-    return _gap_sign.search(text) is not None and GAP.search(text) is not None
+    return _gap_sign.search(text) is not None and (GAP.search(text) is not None or any(map(_asks_to_fill, _bracket.finditer(text))))
+
+
+def _asks_to_fill(bracket: re.Match) -> bool:
+    square, angle = bracket.groups()
+    said, near = (square, 60) if square else (angle, 40)
+    if len(said) <= near:
+        return _asks.search(said) is not None
+    if any(m.start() <= near and len(said) - m.end() <= near for m in _asks.finditer(said)):
+        return True
+    return _asks_long.search(said) is not None and (square is not None or _plain_words.match(said) is not None)
 
 
 def _cut(text: str) -> list[str]:

@@ -85,3 +85,18 @@ def test_frame_lines_of_long_texts():
     assert r.is_error_page(" ".join(r.body_lines(page)))
     started = time.process_time()
     assert len(r.body_lines("a |" * 100_000 + ".\nb c d e f.")) == 2 and time.process_time() - started < 5
+
+
+@pytest.mark.parametrize("text", [
+    "Then [Insert a summary of the principal terms of the agreement, including amounts and maturity dates] follows.", "Then [Company to insert a summary of the principal terms of the agreement, including all amounts, maturity dates and covenants] follows.", "So <please describe the program in two or three sentences and then enter the score of the last quarter> it is.",
+    "As of {{ " + "filing.period_end | default('x') " * 10 + "}}, it", "see [[headline_" + "x" * 100 + "]] C", "the ${issuer." + "a" * 150 + "} meter", "Then [bitte hier eine Zusammenfassung der wichtigsten Bedingungen des Vertrags samt Beträgen und Laufzeiten einfügen] folgt.",
+])
+def test_long_gaps(text):
+    assert r.has_gap(text) and r.has_gap(text.upper())
+
+
+@pytest.mark.parametrize("text", [
+    "It is so [the company and its subsidiaries may enter into new agreements at any time, and the insertion of texts has been entered in the list].", "He said [the program of the call center was extended in the second year to all of the sites that the company then had] so.", 'a <input type="text" class="search-box" name="q" id="q1" placeholder="Please enter the name of an issuer here"> b', "for 3 < 5 the members may enter the plan at any time before the end of the quarter if 7 > 6 holds",
+])
+def test_no_long_gaps(text):
+    assert not r.has_gap(text)
