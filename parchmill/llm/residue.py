@@ -5,7 +5,7 @@
    filler phrase over and over. A text is an error page if, apart from menus and copyright lines, every sentence of
    it is an error message or a demand to turn on scripts.
 2. Paragraphs and whole texts without menus, as distinct texts (digits levelled), get a SimHash of words and word
-   pairs. Its eight blocks are the keys of eight tables; texts of about the same length (within a quarter) that share
+   pairs. Its eight blocks are the keys of eight tables; texts with about as many shingles (within a quarter) that share
    a block and differ in at most ``hamming`` bits
    are candidates, and those whose sets of five-word shingles agree to ``similarity`` or more are linked.
 3. Labels of whole paragraphs and texts spread along links until nothing new is reached: a text gets a label exactly
@@ -222,11 +222,18 @@ def _unit(words: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _size(words: list[str]) -> int:
+    n = max(1, len(words) - 4)
+    if n > 1 and len(set(words)) < len(words):
+        n = len(set(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False)))
+    return int(math.log(n) / _STEP + 1e-9)
+
+
 def document_units(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """(id, gap, part, unit, label, sim, size): per document its paragraphs (part >= 0) and its whole body (part -1).
 
     ``label`` is the trusted label: "error" or "filler". A document of one paragraph has that as its body; a document
-    with a gap has one row without a unit.
+    with a gap has one row more, without a unit. ``size`` is the logarithmic step of the number of distinct shingles.
     """
 
     def make():
@@ -238,7 +245,7 @@ def document_units(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -
 
             def put(i, gap, part, words, label, sim):
                 rows.append(i), gaps.append(gap), parts.append(part), labels.append(label), sims.append(sim)
-                ids.append(_unit(words) if words else None), sizes.append(int(math.log(len(words)) / _STEP) if words else None)
+                ids.append(_unit(words) if words else None), sizes.append(_size(words) if words else None)
 
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if not t:
@@ -246,7 +253,6 @@ def document_units(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -
                 shown = form_of(t)
                 if has_gap(shown):
                     put(i, True, -1, None, None, None)
-                    continue
                 lines = body_lines(shown)
                 if not lines:
                     continue

@@ -100,3 +100,14 @@ def test_long_gaps(text):
 ])
 def test_no_long_gaps(text):
     assert not r.has_gap(text)
+
+
+def test_links_of_repeated_texts_and_of_texts_with_a_gap(spark):
+    said = ["Please reload the page of the viewer in your browser now.", "You need to enable JavaScript to run this app today.", "The requested document could not be located on this server."]
+    error = " ".join(said * 4)
+    more = "Hello there. " + " ".join(said * 10)
+    assert abs(r._size(r.levelled(error)) - r._size(r.levelled(more))) <= 1
+    content = "本公司在二〇一二年的净推荐值为四十五，并于次年推广。"
+    lorem = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt"
+    df = spark.createDataFrame([(1, error), (2, more), (3, f"We paid [TBD] for it today.\n{lorem}"), (4, content)], "doc_id long, text string")
+    assert rows(r.residue_labels(df)) == [(1, "error"), (2, "error"), (3, "filler"), (3, "gap")]
