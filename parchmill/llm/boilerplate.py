@@ -3,11 +3,12 @@
 Every line becomes an identifier of what readers see (the one form, lower case, single spaces, digits levelled). The
 identifiers of a source's documents are concatenated, with a separator of its own after each document and in place of
 each short line, and a suffix array with its common prefixes is built over them by prefix doubling. An interval of
-suffixes that share a first line is that line with all its occurrences; intervals of longer common prefixes are
-repeated blocks. Blocks that span enough documents are deleted.
+suffixes that share a first line is that line with all its occurrences. Lines of enough documents are deleted, and with
+them every block of several lines that spans enough documents.
 
 A source of more than ``chunk`` lines is split by document into chunks, each with an array of its own; the counts of
-its blocks are added over the chunks. So no task holds a large source, and no line is left out.
+its lines are added over the chunks. So no task holds a large source, and no line is left out. Blocks of several lines
+are counted by :func:`repeated_blocks` over whole sources, by documents, whatever their chunks.
 
 Defined results: null texts have no lines; documents without a source are never cases; a document with several
 sources counts for each; a line twice in one document counts once; other columns are ignored.
@@ -100,14 +101,13 @@ def _distinct_in_runs(run: np.ndarray, value: np.ndarray, runs: int) -> np.ndarr
 
 
 def repeated(source: np.ndarray, doc: np.ndarray, place: np.ndarray, line: np.ndarray) -> dict[str, np.ndarray]:
-    """Of each position: the number of documents of its source with its line, and how long a block starts there that
-    another document has as well.
+    """Of each position: the number of documents of its source with its line.
 
     The sequence holds the lines of whole documents of one or more sources, in document order.
     """
     n = len(line)
     if not n:
-        return {"docs": np.empty(0, np.int64), "block": np.empty(0, np.int64)}
+        return {"docs": np.empty(0, np.int64)}
     pair = np.stack((source, line), axis=1)
     _, ids = np.unique(pair, axis=0, return_inverse=True)
     ids = ids.reshape(-1).astype(np.int64)
@@ -125,15 +125,13 @@ def repeated(source: np.ndarray, doc: np.ndarray, place: np.ndarray, line: np.nd
     real = of[order] >= 0
     row = of[order[real]]
     docs = _distinct_in_runs(run[real], doc[row], int(run[-1]) + 1)
-    out_docs, out_block = np.empty(n, np.int64), np.zeros(n, np.int64)
+    out_docs = np.empty(n, np.int64)
     out_docs[row] = docs[run[real]]
-    longest = np.maximum(prefix, np.append(prefix[1:], 0))
-    out_block[row] = longest[real]
-    return {"docs": out_docs, "block": out_block}
+    return {"docs": out_docs}
 
 
 def repeated_lines(df: DataFrame, key: str, sources, text: str, documents: int = 8, least: int = 12, chunk: int = CHUNK, path: str = VOCABULARY) -> DataFrame:
-    """(source, id, line_no, line, block): the occurrences of lines that at least ``documents`` documents of a source have."""
+    """(source, id, line_no, line): the occurrences of lines that at least ``documents`` documents of a source have."""
     spark = df.sparkSession
     lines = cut(document_lines(df, key, sources, text, least, path), "lines")
     total = lines.count()
@@ -141,7 +139,7 @@ def repeated_lines(df: DataFrame, key: str, sources, text: str, documents: int =
     limit = max(chunk, total // 100_000)
     large = lines.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("source", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
     split = lines.join(F.broadcast(large), "source", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    schema = f"source string, id {dict(lines.dtypes)['id']}, line_no long, line long, part int, parts int, docs long, block long"
+    schema = f"source string, id {dict(lines.dtypes)['id']}, line_no long, line long, part int, parts int, docs long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -154,8 +152,8 @@ def repeated_lines(df: DataFrame, key: str, sources, text: str, documents: int =
             group = codes * (int(part.max()) + 1) + part
             found = repeated(group, tab["id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), tab["line_no"].to_numpy(), tab["line"].to_numpy())
             keep = (found["docs"] >= documents) | (tab["parts"].to_numpy() > 1)
-            tab = tab.append_column("docs", pa.array(found["docs"])).append_column("block", pa.array(found["block"])).filter(pa.array(keep)).combine_chunks()
-            names = ["source", "id", "line_no", "line", "part", "parts", "docs", "block"]
+            tab = tab.append_column("docs", pa.array(found["docs"])).filter(pa.array(keep)).combine_chunks()
+            names = ["source", "id", "line_no", "line", "part", "parts", "docs"]
             return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c := tab[n], pa.ChunkedArray) else c for n in names], names=names)
 
         for batch in batches:
@@ -180,7 +178,7 @@ def repeated_lines(df: DataFrame, key: str, sources, text: str, documents: int =
     single = found.filter("parts = 1")
     several = found.filter("parts > 1")
     counts = several.select("source", "line", "part", "docs").distinct().groupBy("source", "line").agg(F.sum("docs").alias("all")).filter(F.col("all") >= documents).select("source", "line")
-    columns = ["source", "id", "line_no", "line", "block"]
+    columns = ["source", "id", "line_no", "line"]
     del spark
     return single.select(columns).unionByName(several.join(counts, ["source", "line"], "left_semi").select(columns))
 
@@ -209,6 +207,43 @@ def without_lines(df: DataFrame, key: str, text: str, found: DataFrame) -> DataF
     return df.select(key, text).join(numbers, key, "left").select(key, F.array_join(left, "\n").alias(text), F.size(gone).cast("long").alias("removed"))
 
 
-def repeated_blocks(found: DataFrame) -> DataFrame:
-    """(source, line, documents, longest): each repeated line with its documents and the longest repeated block that it opens."""
-    return found.groupBy("source", "line").agg(F.countDistinct("id").alias("documents"), F.max("block").alias("longest"))
+def _grams(lines: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(start, length, identifier) of every run of lines within a run."""
+    for a in range(len(lines)):
+        h = 0
+        for b in range(a, len(lines)):
+            h = ((h ^ lines[b]) * 0x9E3779B97F4A7C15F39CC0605CEDC835 + b - a + 1) & (1 << 128) - 1
+            h ^= h >> 67
+            yield a, b - a + 1, (h >> 64) - (1 << 63)
+
+
+def repeated_blocks(found: DataFrame, documents: int = 8) -> DataFrame:
+    """(source, line, documents, longest): each repeated line with its documents and the longest block that it opens and
+    that at least ``documents`` documents of the source have.
+
+    ``found`` has all occurrences of repeated lines, so each line of such a block. Per document they are at most as many
+    as its text has lines; documents with the same runs of repeated lines fold before their blocks are written out.
+    """
+    found = cut(found.select("source", "id", "line_no", "line"), "found")
+    pages = found.groupBy("source", "id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("at"))
+    # the lines of a document in order; a line that doesn't follow the one before it opens a run
+    opens = F.transform("at", lambda x, i: (i == 0) | (x["line_no"] != F.get("at", i - 1)["line_no"] + 1))
+    kinds = cut(pages.select("source", F.col("at.line").alias("lines"), opens.alias("opens")).groupBy("source", "lines", "opens").agg(F.count("*").alias("docs")), "kinds")
+
+    def runs(lines: list[int], opens: list[bool]) -> Iterator[list[int]]:
+        starts = [k for k, new in enumerate(opens) if new]
+        return (lines[a:b] for a, b in zip(starts, [*starts[1:], len(lines)], strict=True))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, lines, opens, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # per document each block counts once; those of one line are counted already
+                said = {h: (lines_of[a], n) for lines_of in runs(lines, opens) for a, n, h in _grams(lines_of) if n > 1}
+                if said:
+                    size = len(said)
+                    yield pa.RecordBatch.from_arrays([pa.array([source] * size), pa.array(said.keys(), pa.int64()), pa.array([x[0] for x in said.values()], pa.int64()), pa.array([x[1] for x in said.values()], pa.int64()), pa.array([docs] * size, pa.int64())], names=["source", "block", "line", "n", "docs"])
+
+    blocks = kinds.select("source", "lines", "opens", "docs").mapInArrow(count, "source string, block long, line long, n long, docs long")
+    wide = blocks.groupBy("source", "block", "line", "n").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= documents).groupBy("source", "line").agg(F.max("n").alias("n"))
+    per = found.groupBy("source", "line").agg(F.countDistinct("id").alias("documents"))
+    return per.join(wide, ["source", "line"], "left").select("source", "line", "documents", F.coalesce("n", F.lit(1).cast("long")).alias("longest"))

@@ -70,3 +70,30 @@ def test_blocks_of_several_lines(spark):
 def test_issuers(spark):
     df = spark.sql("SELECT named_struct('filing', named_struct('ciks', array('0071', '71', ' 9 ', '', null, '000'))) AS metadata")
     assert df.select(b.issuers()).first()[0] == ["71", "71", "9", "0"]
+
+
+def test_blocks_over_the_parts_of_a_source(spark):
+    rng, made = random.Random(5), []
+    notices = [f"{w} line of the notice to holders" for w in "first second third fourth fifth".split()]
+    for k in range(60):
+        lines = [f"Own text of the record {''.join(rng.choices('abcdefgh', k=20))}"]
+        for _ in range(rng.randint(0, 2)):
+            a = rng.randint(0, 4)
+            lines += notices[a : rng.randint(a + 1, 5)] + ["short"] * rng.randint(0, 1)
+        made.append((k, "\n".join(lines), [rng.choice(["s", "s", "t"])]))
+    docs = defaultdict(set)
+    for k, text, (source,) in made:
+        lines = [b.line_id(x) if len(x) >= 12 else None for x in text.split("\n")]
+        for a in range(len(lines)):
+            for e in range(a + 1, len(lines) + 1):
+                if None not in lines[a:e]:
+                    docs[source, tuple(lines[a:e])].add(k)
+    want = {}
+    for (source, block), who in docs.items():
+        if len(who) >= 8:
+            want[source, block[0]] = (len(docs[source, block[:1]]), max(len(block), want.get((source, block[0]), (0, 0))[1]))
+    assert max(n for _, n in want.values()) > 1
+    df = spark.createDataFrame(made, "record_id long, core_text string, s array<string>")
+    for chunk in (100_000, 20):
+        found = b.repeated_lines(df, "record_id", F.col("s"), "core_text", chunk=chunk)
+        assert {(r["source"], r["line"]): (r["documents"], r["longest"]) for r in b.repeated_blocks(found).collect()} == want
