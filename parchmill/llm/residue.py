@@ -98,6 +98,7 @@ _frame = re.compile(r"\s*(?:©|\(c\)|copyright\b)|[^.!?。！？।؟|»›·]*[
 #: Chinese and Japanese have no spaces: each of their characters is a word.
 _HAN_KANA = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _han_kana = re.compile(f"[{_HAN_KANA}]")
+_all_han_kana = re.compile(f"[{_HAN_KANA}]+").fullmatch
 _cut_words = re.compile(rf"[{_HAN_KANA}]|[^\W_{_HAN_KANA}]+")
 _words = re.compile(r"[^\W_]+")
 _digits = re.compile(r"\d+(?:[.,]\d+)*")
@@ -123,7 +124,18 @@ def _asks_to_fill(bracket: re.Match) -> bool:
 
 def _cut(text: str) -> list[str]:
     """The words of a text, with each Chinese or Japanese character as one."""
-    return (_words if text.isascii() or not _han_kana.search(text) else _cut_words).findall(text)
+    words = _words.findall(text)
+    if text.isascii() or not _han_kana.search(text):
+        return words
+    out: list[str] = []
+    for w in words:
+        if w.isascii():
+            out.append(w)
+        elif _all_han_kana(w):
+            out.extend(w)
+        else:
+            out += _cut_words.findall(w)
+    return out
 
 
 def _is_latin(words: list[str]) -> bool:
@@ -132,7 +144,13 @@ def _is_latin(words: list[str]) -> bool:
 
 
 def _names_filler(low: str) -> bool:
-    return any(sign in low for sign in _filler_signs) and FILLER.search(low) is not None
+    for sign in _filler_signs:
+        at = low.find(sign)
+        while at >= 0:  # a match holds a sign and has fewer than 40 characters
+            if FILLER.search(low, max(0, at - 40), at + 40):
+                return True
+            at = low.find(sign, at + 1)
+    return False
 
 
 def is_filler(paragraph: str, words: list[str]) -> bool:
@@ -224,7 +242,7 @@ def _unit(words: list[str]) -> int:
 
 def _size(words: list[str]) -> int:
     n = max(1, len(words) - 4)
-    if n > 1 and len(set(words)) < len(words):
+    if n > 1:
         n = len(set(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False)))
     return int(math.log(n) / _STEP + 1e-9)
 
