@@ -4,17 +4,18 @@
    in, a masked date, a spreadsheet's error. A paragraph is filler if its words are, or if it is one word or one
    filler phrase over and over. A text is an error page if, apart from menus and copyright lines, every sentence of
    it is an error message or a demand to turn on scripts.
-2. Paragraphs and whole texts without menus, as distinct texts (digits levelled), get a SimHash of words and word
-   pairs. Its eight blocks are the keys of eight tables; texts with about as many shingles (within a quarter) that share
-   a block and differ in at most ``hamming`` bits
-   are candidates, and those whose sets of five-word shingles agree to ``similarity`` or more are linked.
+2. Paragraphs and whole texts without menus, as distinct texts (digits levelled), get a SimHash of word pairs. Its four
+   blocks of 16 bits are the keys of four tables. A labelled text looks into each table at its own block and at all
+   blocks that differ from it in one or two bits, among texts with about as many shingles (within a quarter). Texts
+   that differ in at most ``hamming`` bits are candidates, and those whose sets of five-word shingles agree to
+   ``similarity`` or more are linked.
 3. Labels of whole paragraphs and texts spread along links until nothing new is reached: a text gets a label exactly
    if its connected component holds a trusted one. Components without a label are never built. Gaps don't spread, as
    a filled-in copy of a template is no residue.
 
-Texts that differ in at most seven bits are certain to share a table's block; of those that differ in ten, nine in
-ten do. Texts are never shuffled whole but for
-the candidates; no group and no table is collected.
+Texts that differ in at most 11 bits are certain to meet in a table (one of four blocks has at most two of them); of
+those that differ in 12 or 13, 97 and 90 in a hundred do. Tables hold SimHashes only. Texts are read again for
+candidates only: each is cut into shingles once and compared in the JVM.
 
 Defined results: null and empty texts, and texts without a letter or digit, are no cases; every copy counts; texts of
 fewer than five words are compared as one shingle; other columns are ignored.
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import small
 from ..session import cut
 from .arrow import map_batches
 from .forms import VOCABULARY, canonical
@@ -56,6 +58,8 @@ _asks = re.compile(FILL_IN, re.I)
 _asks_long = re.compile(rf"(?<![A-Za-z])(?:{FILL_IN})(?!ed\b|ing\b|ions?\b|s\b| into\b)", re.I)
 _plain_words = re.compile(r"\s*[^\W\d_](?![^=]*=)")
 _gap_sign = re.compile(r"[\[{<#@%_Xx$€£MmDd](?:(?<=[\[{<#])|(?<=@)@|(?<=%)[%(sd]|(?<=_)_|(?<=[Xx])[Xx]|(?<=[Xx])[/.-][Xx]|(?<=[$€£])\s?[Xx_]|(?<=[MmDd])[MmDd][/.-])")
+#: What masked figures and dates have without any of the signs above.
+_mask_sign = re.compile(r"[Xx][Xx/.-]|[Mm][Mm][/.-]|[Dd][Dd][/.-]")
 
 #: Words of the usual Latin filler.
 LATIN = frozenset("lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
@@ -100,16 +104,20 @@ _HAN_KANA = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _han_kana = re.compile(f"[{_HAN_KANA}]")
 _all_han_kana = re.compile(f"[{_HAN_KANA}]+").fullmatch
 _cut_words = re.compile(rf"[{_HAN_KANA}]|[^\W_{_HAN_KANA}]+")
-_words = re.compile(r"[^\W_]+")
-_digits = re.compile(r"\d+(?:[.,]\d+)*")
+_words = re.compile(r"\d+(?:[.,]\d+)+|[^\W_]+")
+_figures = re.compile(r"\d+")
 _host = re.compile(r"\b(?:https?://)?(?:www\.)[\w.-]+|\bhttps?://\S+", re.I)
-TABLES = 8
+TABLES = 4
+#: Lists of candidates of at most this many rows are broadcast, longer ones go through a shuffle.
+BROADCAST_ROWS = 100_000
+#: Probes of at most this many SimHashes are broadcast (1,644 small rows each), so that later steps shuffle no table.
+BROADCAST_PROBES = 100
 _STEP = math.log(1.25)
 
 
 def has_gap(text: str) -> bool:
     """Whether a text in the one form has a gap of a template."""
-    return _gap_sign.search(text) is not None and (GAP.search(text) is not None or any(map(_asks_to_fill, _bracket.finditer(text))))
+    return (any(c in text for c in "[{<#@%_$€£") or _mask_sign.search(text) is not None) and _gap_sign.search(text) is not None and (GAP.search(text) is not None or any(map(_asks_to_fill, _bracket.finditer(text))))
 
 
 def _asks_to_fill(bracket: re.Match) -> bool:
@@ -153,15 +161,22 @@ def _names_filler(low: str) -> bool:
     return False
 
 
-def is_filler(paragraph: str, words: list[str]) -> bool:
-    """Whether a paragraph is nothing but filler; ``words`` are its words in lower case."""
+def may_be_filler(low: str, words: list[str]) -> bool:
+    """Whether a lower-case text holds any word or sign that filler in words needs; paragraphs of other texts needn't be searched."""
+    return not LATIN_ONLY.isdisjoint(words) or any(sign in low for sign in _filler_signs)
+
+
+def is_filler(paragraph: str, words: list[str], suspect: bool = True) -> bool:
+    """Whether a paragraph is nothing but filler; ``words`` are its words in lower case, ``suspect`` is :func:`may_be_filler`."""
     n = len(words)
-    if _is_latin(words):
-        return True
     if n >= 3 and _mash.fullmatch(words[0]) and all(_mash.fullmatch(w) for w in words):
         return True
     if n >= 4 and words.count(words[0]) == n:
         return True
+    if not suspect:
+        return False
+    if _is_latin(words):
+        return True
     low = paragraph.lower()
     if not _names_filler(low):
         return False
@@ -190,61 +205,89 @@ def body_lines(text: str) -> list[str]:
     return lines
 
 
-_cache: dict[str, int] = {}
+class _Hashes(dict):
+    """Word -> 64-bit hash, with figures levelled; forgotten between batches when there are many."""
 
+    def __missing__(self, word: str) -> int:
+        level = "0" if word[0].isdigit() and not word.isalnum() else _figures.sub("0", word)
+        h = self[word] = int.from_bytes(hashlib.blake2b(level.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
+        return h
 
-def _hash(word: str) -> int:
-    if len(_cache) > 300_000:
-        _cache.clear()
-    h = _cache[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
-    return h
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 300_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def simhashes(parts: list[list[str]]) -> list[int]:
-    """SimHash of words and word pairs, as signed 64-bit numbers: of each part, and at last of all together.
+_hashes = _Hashes()
 
-    Every part must have a word. Pairs don't reach from one part into the next.
-    """
-    get = _cache.get
-    one = np.array([get(w) or _hash(w) for words in parts for w in words], np.uint64)
-    starts = np.cumsum([0, *(len(words) for words in parts[:-1])])
-    two = np.zeros(len(one), np.uint64)
-    with np.errstate(over="ignore"):
-        two[1:] = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (one[1:] + np.uint64(0x632BE59BD9B4E019))
-        two = (two ^ (two >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    two[starts] = one[starts]  # a part's first word has no pair and counts twice
-    bits = np.unpackbits(np.concatenate((one, two)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat((bits[: len(one)] + bits[len(one) :]).astype(np.int32), starts, axis=0)
-    sizes = np.array([2 * len(words) for words in parts])
-    counts, sizes = np.vstack((counts, counts.sum(axis=0))), np.append(sizes, sizes.sum())
-    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
-
-
-def levelled(text: str) -> list[str]:
-    """The words of a text in the one form that are compared: lower case, figures and hosts levelled."""
-    text = text.lower()
-    if "www." in text or "http" in text:
-        text = _host.sub("host", text)
-    return _cut(_digits.sub("0", text))
 
+_ODD, _LANES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x0101010101010101)
 
-def levelled_lines(lines: list[str]) -> list[list[str]]:
-    """:func:`levelled` of each line, at once."""
-    text = "\n".join(lines).lower()
-    if "www." in text or "http" in text:
-        text = _host.sub("host", text)
-    return [_cut(line) for line in _digits.sub("0", text).split("\n")]
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-def _unit(words: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
+def bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many hashes of each stretch have each of the 64 bits; a stretch reaches to the next start.
 
-def _size(words: list[str]) -> int:
-    n = max(1, len(words) - 4)
-    if n > 1:
-        n = len(set(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False)))
-    return int(math.log(n) / _STEP + 1e-9)
+    Bits are added up eight to a word, in steps of at most 255 hashes, so that no count leaves its byte.
+    """
+    sizes = np.diff(np.append(starts, len(hashes)))
+    steps = -(-sizes // 255)
+    first = np.cumsum(steps) - steps
+    fine = np.repeat(starts, steps) + 255 * (np.arange(int(steps.sum())) - np.repeat(first, steps))
+    out = np.empty((len(fine), 8, 8), np.int32)
+    for k in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(k)) & _LANES, fine)
+        out[:, :, k] = sums.view(np.uint8).reshape(-1, 8)
+    return np.add.reduceat(out.reshape(-1, 64), first, axis=0)
+
+
+def distinct_in(stretch: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
+    """How many distinct hashes each stretch has (its number goes with each hash)."""
+    bits = max(1, int(count).bit_length())
+    keys = np.sort((stretch.astype(np.uint64) << np.uint64(64 - bits)) | (hashes >> np.uint64(bits)))
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
+    return np.bincount((keys[new] >> np.uint64(64 - bits)).astype(np.int64), minlength=count)
+
+
+def features(words: list[str], starts: list[int], lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, sim, size) of each stretch of ``words``, given by its start and its length (at least 1).
+
+    ``unit`` tells stretches of different words apart, ``sim`` is the SimHash of the pairs of neighbouring words (of the
+    word, if it is one), ``size`` the logarithmic step of the number of distinct five-word shingles.
+    """
+    lengths, n = np.array(lengths), len(starts)
+    first = np.cumsum(lengths) - lengths
+    of, place = np.repeat(np.arange(n), lengths), np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    one = _hashes.of(words)[np.repeat(starts, lengths) + place]
+    with np.errstate(over="ignore"):
+        unit = np.add.reduceat(_mix(one + place.astype(np.uint64) * _ODD), first)
+        two = _mix(np.roll(one, 1) * _ODD ^ one)
+        two[first] = np.where(lengths == 1, one[first], np.uint64(0))  # a first word has no pair
+        five = one
+        for k in range(1, 5):
+            five = _mix(five[: len(one) - k] * _ODD + one[k:])
+    sim = np.packbits(2 * bit_sums(two, first) > np.maximum(lengths - 1, 1)[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+    whole = place[: len(five)] <= (lengths - 5)[of[: len(five)]]
+    counts = np.maximum(distinct_in(of[: len(five)][whole], five[whole], n), 1)
+    return unit.view(np.int64), sim, np.floor(np.log(counts) / _STEP + 1e-9).astype(np.int32)
+
+
+def words_of_lines(lines: list[str]) -> list[list[str]]:
+    """The words of lower-case lines that are compared, hosts levelled; figures are levelled when words are hashed."""
+    text = "\n".join(lines)
+    if "www." in text or "http" in text:
+        lines = _host.sub("host", text).split("\n")
+    return [_cut(line) for line in lines]
+
+
+def words_of(text: str) -> list[str]:
+    """The compared words of a text of one line."""
+    return words_of_lines([text.lower()])[0]
 
 
 def document_units(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
@@ -258,36 +301,42 @@ def document_units(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -
         form_of = canonical(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows: list[int] = []
-            gaps, parts, ids, labels, sims, sizes = [], [], [], [], [], []
-
-            def put(i, gap, part, words, label, sim):
-                rows.append(i), gaps.append(gap), parts.append(part), labels.append(label), sims.append(sim)
-                ids.append(_unit(words) if words else None), sizes.append(_size(words) if words else None)
-
+            gaps: list[int] = []
+            rows, numbers, labels, words, starts, lengths = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if not t:
                     continue
                 shown = form_of(t)
                 if has_gap(shown):
-                    put(i, True, -1, None, None, None)
+                    gaps.append(i)
                 lines = body_lines(shown)
                 if not lines:
                     continue
-                body = " ".join(lines)
-                parts_words = levelled_lines(lines)
+                low = [line.lower() for line in lines]
+                parts_words = words_of_lines(low)  # every line has a word
                 whole = [w for p in parts_words for w in p]
-                hashes = simhashes(parts_words)
-                label = "error" if is_error_page(body) else "filler" if is_filler(body, whole) else None
-                put(i, False, -1, whole, label, hashes[-1])
+                body = " ".join(lines)
+                suspect = may_be_filler(" ".join(low), whole)
+                at = len(words)
+                words += whole
+                rows.append(i), numbers.append(-1), starts.append(at), lengths.append(len(whole))
+                labels.append("error" if is_error_page(body) else "filler" if is_filler(body, whole, suspect) else None)
                 if len(lines) > 1:
-                    for n, (line, w) in enumerate(zip(lines, parts_words, strict=True)):  # every line has a word
-                        filler = is_filler(line, w)
+                    for n, w in enumerate(parts_words):
+                        filler = is_filler(lines[n], w, suspect)
                         if filler or len(w) >= 3:
-                            put(i, False, n, w, "filler" if filler else None, hashes[n])
+                            rows.append(i), numbers.append(n), labels.append("filler" if filler else None), starts.append(at), lengths.append(len(w))
+                        at += len(w)
+            unit, sim, size = features(words, starts, lengths) if words else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+            g, n = len(gaps), len(rows)
+
+            def column(values, kind):
+                return pa.concat_arrays([pa.nulls(g, kind), pa.array(values, kind)])
+
             return pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(gaps, pa.bool_()), pa.array(parts, pa.int32()), pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int32())], names=["id", "gap", "part", "unit", "label", "sim", "size"]
-            )
+                [batch.column(0).take(pa.array(gaps + rows, pa.int64())), pa.array([True] * g + [False] * n, pa.bool_()), pa.array([-1] * g + numbers, pa.int32()), column(unit, pa.int64()), column(labels, pa.string()), column(sim, pa.int64()), column(size, pa.int32())],
+                names=["id", "gap", "part", "unit", "label", "sim", "size"],
+            )
 
         return step
 
@@ -295,66 +344,111 @@ def document_units(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -
     return map_batches(source, make, f"id {dict(source.dtypes)['id']}, gap boolean, part int, unit long, label string, sim long, size int")
 
 
-def _tables(df: DataFrame, side: str, around: bool = False) -> DataFrame:
-    """One row per block of the SimHash: the key of each table, with the length's step (and the steps beside it)."""
-    bits = 64 // TABLES
-    keys = F.explode(F.array(*[F.shiftrightunsigned("sim", n * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + F.lit(n << bits) for n in range(TABLES)]))
-    steps = F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])) if around else F.col("size")
-    return df.select(F.col("unit").alias(f"u{side}"), F.col("sim").alias(f"s{side}"), steps.alias("step"), "sim").select(f"u{side}", f"s{side}", "step", keys.alias("key"))
+#: All ways to turn at most two of a block's bits.
+_TURNS = [0, *(1 << a for a in range(16)), *((1 << a) | (1 << b) for a in range(16) for b in range(a))]
+
 
+def _block(sim: str, n: str):
+    return F.expr(f"cast(shiftrightunsigned({sim}, 16 * {n}) & 65535 as int)")
 
-def unit_words(text: str, part: int, form_of) -> list[str]:
-    lines = body_lines(form_of(text))
-    return [w for line in lines for w in levelled(line)] if part < 0 else levelled(lines[part])
 
+def sim_tables(points: DataFrame) -> DataFrame:
+    """(key, step, sb): each SimHash under its four blocks. ``points`` has (sim, size)."""
+    rows = points.withColumn("n", F.explode(F.array(*map(F.lit, range(TABLES)))))
+    return rows.select((_block("sim", "n") + F.col("n") * 65536).alias("key"), F.col("size").alias("step"), F.col("sim").alias("sb"))
 
-def shingles(words: list[str], n: int = 5) -> set[tuple[str, ...]]:
-    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
 
+def sim_probes(points: DataFrame) -> DataFrame:
+    """(key, step, sa, za): each SimHash under all blocks and lengths where its neighbours may stand."""
+    rows = points.withColumn("n", F.explode(F.array(*map(F.lit, range(TABLES))))).withColumn("turn", F.explode(F.array(*map(F.lit, _TURNS))))
+    key = _block("sim", "n").bitwiseXOR(F.col("turn")) + F.col("n") * 65536
+    return rows.select(key.alias("key"), F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])).alias("step"), F.col("sim").alias("sa"), F.col("size").alias("za"))
+
+
+def sim_neighbours(frontier: DataFrame, tables: DataFrame, hamming: int) -> DataFrame:
+    """(sa, za, sb, step): SimHashes of the tables near those of the frontier, each pair once."""
+    probes = sim_probes(frontier.select("sim", "size").distinct())
+    met = (F.broadcast(probes) if frontier.count() <= BROADCAST_PROBES else probes).join(tables, ["key", "step"])
+    return met.filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= hamming).select("sa", "za", "sb", "step").distinct()
+
+
+def shingles(words: list[str], n: int = 5) -> np.ndarray:
+    """The distinct hashed runs of ``n`` words; of fewer words the one of all."""
+    one = run = _hashes.of(words)
+    with np.errstate(over="ignore"):
+        for k in range(1, min(n, len(words))):
+            run = _mix(run[: len(one) - k] * _ODD + one[k:])
+    return np.unique(run).view(np.int64)
 
-def _verified(pairs: DataFrame, df: DataFrame, key: str, text: str, similarity: float, path: str) -> DataFrame:
-    """Of the pairs (ua, ia, pa, ub, ib, pb) those whose five-word shingles are similar enough."""
-    texts = df.select(F.col(key).alias("__id"), F.col(text).alias("__t"))
-    both = pairs.join(texts.select(F.col("__id").alias("ia"), F.col("__t").alias("ta")), "ia").join(texts.select(F.col("__id").alias("ib"), F.col("__t").alias("tb")), "ib")
+
+def shingle_hashes(df: DataFrame, wanted: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """(id, part, shingles): the hashed five-word shingles of the wanted (id, part) places; each text is read once."""
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("__t"))
+    places = wanted.groupBy("id").agg(F.collect_set("part").alias("parts"))  # at most a text's paragraphs
+    few = small(places, BROADCAST_ROWS)
+    rows = texts.join(few, "id").select("id", "parts", "__t")
 
     def make():
         form_of = canonical(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                a, b = shingles(unit_words(row[2], row[0], form_of)), shingles(unit_words(row[3], row[1], form_of))
-                keep.append(len(a & b) >= similarity * len(a | b))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["ua", "ub"]).filter(pa.array(keep, pa.bool_()))
+            at, numbers, out = [], [], []
+            for i, (parts, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                lines = words_of_lines([line.lower() for line in body_lines(form_of(t))])
+                for part in parts:
+                    words = [w for line in lines for w in line] if part < 0 else lines[part]
+                    at.append(i), numbers.append(part)
+                    out.append(shingles(words))
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["id", "part", "shingles"])
 
         return step
 
-    return map_batches(both.select("ua", "ub", "pa", "pb", "ta", "tb"), make, "ua long, ub long")
+    return map_batches(rows, make, f"id {dict(rows.dtypes)['id']}, part int, shingles array<long>")
+
+
+def linked(pairs: DataFrame, df: DataFrame, key: str, text: str, similarity: float, path: str) -> DataFrame:
+    """Of the pairs (ua, ia, pa, label, ub, ib, pb) those whose sets of five-word shingles are similar enough."""
+    ends = [pairs.select(F.col(f"i{s}").alias("id"), F.col(f"p{s}").alias("part")) for s in "ab"]
+    prints = cut(shingle_hashes(df, ends[0].union(ends[1]).distinct(), key, text, path), "shingles")
+    both = pairs
+    for s in "ab":
+        both = both.join(prints.select(F.col("id").alias(f"i{s}"), F.col("part").alias(f"p{s}"), F.col("shingles").alias(f"x{s}")), [f"i{s}", f"p{s}"])
+    return both.filter(F.size(F.array_intersect("xa", "xb")) >= similarity * F.size(F.array_union("xa", "xb"))).select("ua", "label", "ub")
 
 
-def residue_labels(df: DataFrame, key: str = "doc_id", text: str = "text", hamming: int = 14, similarity: float = 0.8, path: str = VOCABULARY) -> DataFrame:
-    """(key, label): the documents to exclude, with "gap", "error" or "filler"; one row per document and label."""
+def residue_labels(df: DataFrame, key: str = "doc_id", text: str = "text", hamming: int = 13, similarity: float = 0.8, path: str = VOCABULARY) -> DataFrame:
+    """(key, label, by): the documents to exclude, with "gap", "error" or "filler"; one row per document and label.
+
+    ``by`` is "rule" where the document itself has the trusted label, "link" where its component brings it.
+    """
     found = cut(document_units(df, key, text, path), "units")
     named = found.filter("unit IS NOT NULL")
-    # one row per distinct text; copies fold before the shuffle
-    distinct = cut(named.groupBy("unit").agg(F.min("sim").alias("sim"), F.min("size").alias("size"), F.min(F.struct("id", "part")).alias("at"), F.max("label").alias("label")).select("unit", "sim", "size", "at.id", "at.part", "label"), "distinct")
-    reached = distinct.filter("label IS NOT NULL").select("unit", "label")
-    frontier = distinct.filter("label IS NOT NULL").select("unit", "sim", "size", "id", "part", "label")
-    tables = _tables(distinct.filter("label IS NULL"), "b")
+
+    def texts_of(units: DataFrame) -> DataFrame:  # one row per distinct text; copies fold before the shuffle
+        return units.groupBy("unit").agg(F.min("sim").alias("sim"), F.min("size").alias("size"), F.min(F.struct("id", "part")).alias("at"), F.max("label").alias("label")).select("unit", "sim", "size", "at.id", "at.part", "label")
+
+    frontier = reached = cut(texts_of(named.filter("label IS NOT NULL")), "reached")
+    unlabelled = named.filter("label IS NULL")
+    tables = sim_tables(cut(unlabelled.select("sim", "size").distinct(), "points"))
     while True:  # one step along the links of the labelled components; ends when a step reaches nothing new
-        near = _tables(frontier, "a", True).join(tables, ["key", "step"]).filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= hamming).select("ua", "ub").distinct()
-        places = [c for c in ("id", "part")]
-        pairs = near.join(distinct.select(F.col("unit").alias("ua"), *[F.col(c).alias(f"{c[0]}a") for c in places]), "ua").join(distinct.select(F.col("unit").alias("ub"), *[F.col(c).alias(f"{c[0]}b") for c in places]), "ub")
-        links = _verified(pairs, df, key, text, similarity, path)
-        new = links.join(reached.withColumnRenamed("unit", "ua"), "ua").groupBy(F.col("ub").alias("unit")).agg(F.max("label").alias("label"))
-        new = cut(new.join(reached.select("unit"), "unit", "left_anti"), "reached")
-        if new.isEmpty():
+        near = cut(sim_neighbours(frontier, tables, hamming), "near")
+        if near.isEmpty():
+            break
+        ends = small(near.select(F.col("sb").alias("sim"), F.col("step").alias("size")).distinct(), BROADCAST_ROWS)
+        met = texts_of(unlabelled.join(ends, ["sim", "size"])).join(reached.select("unit"), "unit", "left_anti")
+        pairs = near.join(frontier.select(F.col("sim").alias("sa"), F.col("size").alias("za"), F.col("unit").alias("ua"), F.col("id").alias("ia"), F.col("part").alias("pa"), "label"), ["sa", "za"])
+        pairs = cut(pairs.join(met.select(F.col("sim").alias("sb"), F.col("size").alias("step"), F.col("unit").alias("ub"), F.col("id").alias("ib"), F.col("part").alias("pb")), ["sb", "step"]).drop("sa", "za", "sb", "step"), "pairs")
+        if pairs.isEmpty():
+            break
+        new = linked(pairs, df, key, text, similarity, path).groupBy(F.col("ub").alias("unit")).agg(F.max("label").alias("label"))
+        frontier = cut(met.drop("label").join(new, "unit").select(reached.columns), "reached")
+        if frontier.isEmpty():
             break
-        reached = reached.unionByName(new)
-        frontier = distinct.drop("label").join(new, "unit").select("unit", "sim", "size", "id", "part", "label")
-    spread = named.select("id", "part", "unit").join(reached, "unit").filter("part < 0 OR label = 'filler'").select("id", "label")
-    gaps = found.filter("gap").select("id", F.lit("gap").alias("label"))
-    return gaps.unionByName(spread).distinct().withColumnRenamed("id", key)
+        reached = reached.unionByName(frontier)
+    whole = named.select("id", "part", "unit", F.col("label").alias("own")).join(small(reached.select("unit", "label"), BROADCAST_ROWS), "unit").filter("part < 0 OR label = 'filler'")
+    spread = whole.groupBy("id", "label").agg(F.when(F.bool_or(F.col("own").isNotNull()), "rule").otherwise("link").alias("by"))
+    gaps = found.filter("gap").select("id", F.lit("gap").alias("label"), F.lit("rule").alias("by"))
+    return gaps.unionByName(spread).withColumnRenamed("id", key)
 
 
 def residue(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
