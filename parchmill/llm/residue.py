@@ -417,9 +417,9 @@ def linked(pairs: DataFrame, df: DataFrame, key: str, text: str, similarity: flo
 
 
 def residue_labels(df: DataFrame, key: str = "doc_id", text: str = "text", hamming: int = 13, similarity: float = 0.8, path: str = VOCABULARY) -> DataFrame:
-    """(key, label, by): the documents to exclude, with "gap", "error" or "filler"; one row per document and label.
+    """(key, label, origin): the documents to exclude, with "gap", "error" or "filler"; one row per document and label.
 
-    ``by`` is "rule" where the document itself has the trusted label, "link" where its component brings it.
+    ``origin`` is "rule" where the document itself has the trusted label, "link" where its component brings it.
     """
     found = cut(document_units(df, key, text, path), "units")
     named = found.filter("unit IS NOT NULL")
@@ -446,8 +446,8 @@ def residue_labels(df: DataFrame, key: str = "doc_id", text: str = "text", hammi
             break
         reached = reached.unionByName(frontier)
     whole = named.select("id", "part", "unit", F.col("label").alias("own")).join(small(reached.select("unit", "label"), BROADCAST_ROWS), "unit").filter("part < 0 OR label = 'filler'")
-    spread = whole.groupBy("id", "label").agg(F.when(F.bool_or(F.col("own").isNotNull()), "rule").otherwise("link").alias("by"))
-    gaps = found.filter("gap").select("id", F.lit("gap").alias("label"), F.lit("rule").alias("by"))
+    spread = whole.groupBy("id", "label").agg(F.when(F.bool_or(F.col("own").isNotNull()), "rule").otherwise("link").alias("origin"))
+    gaps = found.filter("gap").select("id", F.lit("gap").alias("label"), F.lit("rule").alias("origin"))
     return gaps.unionByName(spread).withColumnRenamed("id", key)
 
 
