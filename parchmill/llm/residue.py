@@ -368,7 +368,8 @@ def sim_probes(points: DataFrame) -> DataFrame:
 def sim_neighbours(frontier: DataFrame, tables: DataFrame, hamming: int) -> DataFrame:
     """(sa, za, sb, step): SimHashes of the tables near those of the frontier, each pair once."""
     probes = sim_probes(frontier.select("sim", "size").distinct())
-    met = (F.broadcast(probes) if frontier.count() <= BROADCAST_PROBES else probes).join(tables, ["key", "step"])
+    # the planner takes exploded rows for few, so that only a count may choose a broadcast
+    met = (F.broadcast(probes) if frontier.count() <= BROADCAST_PROBES else probes.hint("merge")).join(tables, ["key", "step"])
     return met.filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= hamming).select("sa", "za", "sb", "step").distinct()
 
 
