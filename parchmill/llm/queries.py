@@ -34,7 +34,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "raw_records")
-    return boilerplate.without_lines(records, "record_id", "core_text", boilerplate.record_lines(records))
+    return boilerplate.without_lines(records, "record_id", "core_text", boilerplate.record_lines(records, short=True))
 
 
 def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,28 +38,67 @@ def data(rng):
     return out
 
 
+def deleted(made, documents=8):
+    """By brute force: the wide and the short lines of blocks of one or more lines, with a wide line, in enough documents."""
+    seen = {k: [(n, b.line_id(line), sum(map(str.isalnum, line)) >= 12) for n, line in enumerate((t or "").split("\n")) if any(map(str.isalnum, line))] for k, t, _ in made}
+    docs = defaultdict(set)
+    for k, _, s in made:
+        for x in set(s or ()):
+            for i in range(len(seen[k])):
+                for j in range(i, len(seen[k])):
+                    docs[x, tuple(h for _, h, _ in seen[k][i : j + 1])].add(k)
+    wide, short = set(), set()
+    for k, _, s in made:
+        for x in set(s or ()):
+            for i in range(len(seen[k])):
+                for j in range(i, len(seen[k])):
+                    block = seen[k][i : j + 1]
+                    if len(docs[x, tuple(h for _, h, _ in block)]) >= documents and any(w for _, _, w in block):
+                        wide |= {(k, n) for n, _, w in block if w}
+                        short |= {(k, n) for n, _, w in block if not w}
+    return sorted(wide), sorted(short)
+
+
 def test_against_counting(spark):
     made = data(random.Random(2))
     df = spark.createDataFrame(made, "record_id long, core_text string, s array<string>").withColumn("line", F.lit("clash"))
-    docs, places = defaultdict(set), []
-    for k, t, s in made:
-        for n, line in enumerate((t or "").split("\n")):
-            if sum(map(str.isalnum, line)) >= 12:
-                for x in set(s or ()):
-                    docs[x, b.line_id(line)].add(k)
-                    places.append((k, n, x, b.line_id(line)))
-    want = sorted({(k, n) for k, n, x, i in places if len(docs[x, i]) >= 8})
-    assert want
+    wide, short = deleted(made)
+    assert wide and short
     for chunk in (100_000, 40):
         found = b.repeated_lines(df, "record_id", F.col("s"), "core_text", chunk=chunk)
-        assert sorted(map(tuple, found.select("id", "line_no").distinct().collect())) == want
-    gone = dict(b.without_lines(df, "record_id", "core_text", found.select(F.col("id").alias("record_id"), "line_no").distinct()).select("record_id", "core_text").collect())
-    for k, t, _ in made:
-        left = None if t is None else "\n".join(line for n, line in enumerate(t.split("\n")) if (k, n) not in set(want))
-        assert gone[k] == left
+        assert sorted(map(tuple, found.filter("wide").select("id", "line_no").distinct().collect())) == wide
+        assert sorted(map(tuple, found.filter("NOT wide").select("id", "line_no").distinct().collect())) == short
+    for gone in (wide, sorted(wide + short)):
+        places = spark.createDataFrame(gone, "record_id long, line_no long")
+        left = {r[0]: (r[1], r[2]) for r in b.without_lines(df, "record_id", "core_text", places).select("record_id", "core_text", "removed").collect()}
+        for k, t, _ in made:
+            rest = None if t is None else "\n".join(line for n, line in enumerate(t.split("\n")) if (k, n) not in set(gone))
+            assert left[k] == (rest, sum(k == x for x, _ in gone))
     assert b.repeated_lines(df.limit(0), "record_id", F.col("s"), "core_text").count() == 0
 
 
+def test_a_block_decides_about_a_short_line(spark):
+    """A short line goes with the notice it stands in, and stays where it stands alone, however often."""
+    made = [(k, f"Own text {'abcdefghij'[k]} of the record\nAll rights reserved by us\nShare\n\n—\nTweet\nRead our terms of use here", ["s"]) for k in range(9)]
+    made += [(20 + k, f"Own text {'klmnopqrst'[k]} of the record\nShare", ["s"]) for k in range(9)] + [(40, "Share\nRead our terms of use here\nTweet", ["s"]), (41, "?\n \n", ["s"])]
+    df = spark.createDataFrame(made, "record_id long, core_text string, s array<string>")
+    for chunk in (100_000, 9):
+        found = rows(b.repeated_lines(df, "record_id", F.col("s"), "core_text", chunk=chunk).select("id", "line_no", "wide"))
+        assert found == sorted([(k, n, n in (1, 6)) for k in range(9) for n in (1, 2, 5, 6)] + [(40, 1, True)])
+
+
+def test_common_prefixes_take_no_longer_for_equal_documents():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        ids = np.concatenate((np.arange(n), [n], np.arange(n), [n + 1]))
+        began = time.process_time()
+        assert b.suffix_array(ids)[1].max() == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_blocks_of_several_lines(spark):
     block = ["First line of the notice", "Second line of the notice", "Third line of the notice"]
     df = spark.createDataFrame([(k, "\n".join([f"Own text {'abcdefghij'[k]} of the record", *block]), ["s"]) for k in range(9)], "record_id long, core_text string, s array<string>")
@@ -81,9 +120,9 @@ def test_blocks_over_the_parts_of_a_source(spark):
             a = rng.randint(0, 4)
             lines += notices[a : rng.randint(a + 1, 5)] + ["short"] * rng.randint(0, 1)
         made.append((k, "\n".join(lines), [rng.choice(["s", "s", "t"])]))
-    docs = defaultdict(set)
+    gone, docs = {x for part in deleted(made) for x in part}, defaultdict(set)
     for k, text, (source,) in made:
-        lines = [b.line_id(x) if len(x) >= 12 else None for x in text.split("\n")]
+        lines = [b.line_id(x) if (k, n) in gone else None for n, x in enumerate(text.split("\n"))]
         for a in range(len(lines)):
             for e in range(a + 1, len(lines) + 1):
                 if None not in lines[a:e]:
