@@ -5,8 +5,13 @@
    keeps its least hash (one-permutation MinHash; empty bins borrow from filled ones).
 3. Bands of minima give candidate pairs. Bands of many members are paired block by block over several tasks.
 4. The low ``bits`` bits of the minima, packed into 64-bit words, estimate the similarity of each candidate by bit
-   counts, corrected for chance collisions; candidates ``slack`` below the threshold are let go.
-5. What remains is held against the exact similarity of the two sets of runs.
+   counts, corrected for chance collisions. The estimate decides where it is more than ``sure`` standard deviations
+   from the threshold.
+5. Only candidates in between are held against the exact similarity of the two sets of runs.
+
+Groups (:func:`near_duplicate_groups`) are the connected components of the similar texts. They need no pairs of a band's
+members: each member is held against the band's least id only, and members that other components share a band with are
+paired in a second step. So a template with any number of fillings costs as many comparisons as it has bands.
 
 Nothing is collected: classes, candidates and links stay distributed. The chance that a pair of similarity s shares no
 band is (1 - s^rows)^bands: with the defaults 0.2 % at 0.62, 0.04 % at 0.65 and under 0.001 % from 0.7 on.
@@ -26,12 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import small
 from ..session import cut
 from .arrow import map_batches
 from .forms import VOCABULARY, canonical
 from .lookalikes import digest
 
 
+#: Lists of texts to look at again of at most this many rows are broadcast, longer ones go through a shuffle.
+BROADCAST_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class MinHash:
     """Parameters: runs of ``width`` characters, ``bands`` bands of ``rows`` minima, ``bits`` bits kept of each."""
@@ -41,8 +51,9 @@ class MinHash:
     rows: int = 5
     bits: int = 4
     threshold: float = 0.6
-    slack: float = 0.15
+    sure: float = 5.0
     block: int = 256
+    stripe: int = 8
     path: str = VOCABULARY
 
     @property
@@ -147,14 +158,14 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, key: str, text: str, p: MinHash) -> DataFrame:
-    """(key, class, sketch, bands) of each text with a letter or digit; short texts have no bands."""
+    """(id, class, runs, sketch, bands) of each text with a letter or digit; short texts have no runs and no bands."""
 
     def make():
         form_of = canonical(p.path)
         empty = np.empty(0, np.uint64)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, classes, sketches, bands = [], [], [], []
+            ids, classes, runs, sketches, bands = [], [], [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not any(map(str.isalnum, t)):
                     continue
@@ -162,24 +173,26 @@ def signatures(df: DataFrame, key: str, text: str, p: MinHash) -> DataFrame:
                 hashes = run_hashes(codes, p.width)
                 least = minima(hashes, p.bins) if len(hashes) else empty
                 ids.append(k)
+                runs.append(len(hashes))
                 classes.append(digest(codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")))
                 sketches.append(packed(least, p.bits, p.words).view(np.int64) if len(least) else empty.view(np.int64))
                 bands.append(band_keys(least, p.bands, p.rows).view(np.int64) if len(least) else empty.view(np.int64))
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(classes, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["id", "class", "sketch", "bands"]
+                [pa.array(ids, batch.schema.field(0).type), pa.array(classes, pa.binary()), pa.array(runs, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["id", "class", "runs", "sketch", "bands"]
             )
 
         return step
 
     source = df.select(F.col(key).alias("id"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
-    return map_batches(source, make, f"id {dict(source.dtypes)['id']}, class binary, sketch array<long>, bands array<long>")
+    return map_batches(source, make, f"id {dict(source.dtypes)['id']}, class binary, runs int, sketch array<long>, bands array<long>")
 
 
-def pairs_within(rows: DataFrame, key: str, block: int = 256) -> DataFrame:
+def pairs_within(rows: DataFrame, key: str, block: int = 256, stripe: int = 8) -> DataFrame:
     """(a, b), a < b, of ``id`` (long) values that share a ``key`` (long); pairs of different keys may repeat.
 
     Runs of one key of at most ``block`` members are paired as they stream by in key order. Longer runs are only cut
-    into blocks; pairs of blocks are then spread over all tasks, so no task holds or pairs a long run alone.
+    into blocks; each pair of stripes of ``stripe`` blocks then is a key of its own, so that a long run is paired by all
+    tasks, and no task holds more than two stripes of it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("run", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64()))])
@@ -238,9 +251,12 @@ def pairs_within(rows: DataFrame, key: str, block: int = 256) -> DataFrame:
     ordered = rows.select(F.col(key).alias("key"), "id").repartition("key").sortWithinPartitions("key")
     found = cut(ordered.mapInArrow(run, "a long, b long, run long, part int, ids array<long>"), "band-pairs")
     short = found.filter("run is null").select("a", "b")
-    x, y = (found.filter("run is not null").select("run", F.col("part").alias(f"p{s}"), F.col("ids").alias(f"i{s}")) for s in "xy")
-    blocks = x.join(y, "run").filter("px <= py").repartition(F.rand(7))
-    members = blocks.select(F.explode("ix").alias("m"), "iy").select("m", F.explode("iy").alias("n")).filter("m <> n")
+    blocks = found.filter("run is not null").select("run", "part", "ids", F.floor(F.col("part") / stripe).cast("int").alias("s"))
+    stripes = blocks.groupBy("run").agg(F.max("s").alias("last"))
+    blocks = blocks.join(stripes, "run")
+    x = blocks.select("run", F.col("s").alias("sx"), F.explode(F.sequence("s", "last")).alias("sy"), F.col("part").alias("px"), F.col("ids").alias("ix"))
+    y = blocks.select("run", F.explode(F.sequence(F.lit(0), "s")).alias("sx"), F.col("s").alias("sy"), F.col("part").alias("py"), F.col("ids").alias("iy"))
+    members = x.join(y.hint("merge"), ["run", "sx", "sy"]).filter("px <= py").select(F.explode("ix").alias("m"), "iy").select("m", F.explode("iy").alias("n")).filter("m <> n")
     return short.unionByName(members.select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b")))
 
 
@@ -291,21 +307,85 @@ def exact(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
     return map_batches(both.select("a", "b", "ta", "tb"), make, "a long, b long, similarity double")
 
 
-def similar_classes(df: DataFrame, key: str, text: str, p: MinHash) -> tuple[DataFrame, DataFrame]:
-    """(id, rep): every text and its class's representative; (a, b, similarity): similar representatives, a < b."""
+def decided(pairs: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str, p: MinHash) -> DataFrame:
+    """(a, b): the pairs whose similarity reaches the threshold, by their sketches or, where those don't tell, exactly."""
+    x, y = (reps.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}"), F.col("runs").alias(f"n{k}")) for k in "ab")
+    chance = 1 / (1 << p.bits)
+    agree = p.threshold + (1 - p.threshold) * chance
+    # borrowed bins repeat others, which costs at most a fifth of what the filled bins tell
+    filled = p.bins * (1 - F.exp(-F.least("na", "nb") / p.bins))
+    doubt = p.sure * F.sqrt(F.lit(agree * (1 - agree)) / (0.8 * filled)) / (1 - chance)
+    # no set that is smaller than the threshold's share of another can be that similar
+    able = F.least("na", "nb") >= p.threshold * F.greatest("na", "nb")
+    rated = pairs.join(x, "a").join(y, "b").filter(able).select("a", "b", (estimate("sa", "sb", p) - p.threshold).alias("over"), doubt.alias("doubt"))
+    rated = cut(rated.filter(F.col("over") >= -F.col("doubt")).select("a", "b", (F.col("over") >= F.col("doubt")).alias("sure")), "near")
+    open_ = rated.filter("NOT sure").select("a", "b")
+    wanted = small(open_.select(F.explode(F.array("a", "b")).alias("id")).distinct(), BROADCAST_ROWS)
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+    exactly = exact(open_, texts, p).filter(F.col("similarity") >= p.threshold).select("a", "b")
+    return rated.filter("sure").select("a", "b").unionByName(exactly)
+
+
+def equal_classes(df: DataFrame, key: str, text: str, p: MinHash) -> tuple[DataFrame, DataFrame]:
+    """(id, rep): every text and the least id of its class of equal texts; (id, runs, sketch, bands) of those with runs."""
     signed = cut(signatures(df, key, text, p), "signatures")
-    # a class's representative is its least id; copies fold before the shuffle
-    classes = signed.groupBy("class").agg(F.min("id").alias("rep"))
+    classes = signed.groupBy("class").agg(F.min("id").alias("rep"))  # copies fold before the shuffle
     members = cut(signed.select("id", "class").join(classes, "class").select("id", "rep"), "classes")
-    reps = signed.join(members.filter("id = rep").select("id"), "id", "left_semi").filter(F.size("bands") > 0)
-    candidates = pairs_within(reps.select("id", F.explode("bands").alias("band")), "band", p.block).distinct()
-    sketch = reps.select("id", "sketch")
-    x, y = (sketch.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    near = candidates.join(x, "a").join(y, "b").filter(estimate("sa", "sb", p) >= p.threshold - p.slack).select("a", "b")
-    near = cut(near, "near")
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    return members, exact(near, texts, p).filter(F.col("similarity") >= p.threshold)
+    reps = signed.join(members.filter("id = rep").select("id"), "id", "left_semi").filter("runs > 0").drop("class")
+    return members, reps
+
+
+def similar_classes(df: DataFrame, key: str, text: str, p: MinHash) -> tuple[DataFrame, DataFrame]:
+    """(id, rep): every text and its class's representative; (a, b): similar representatives, a < b."""
+    members, reps = equal_classes(df, key, text, p)
+    candidates = pairs_within(reps.select("id", F.explode("bands").alias("band")), "band", p.block, p.stripe).distinct()
+    return members, decided(candidates, reps, df, key, text, p)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the ends of edges (a, b): the least id that each is connected with.
+
+    Large and small stars by turns (Kiveris et al. 2014): every round is two aggregates with partial results and joins,
+    no vertex's neighbours are ever put together, and the number of rounds grows with the logarithm of the size.
+    """
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+
+    def mark(df):
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    before, after = None, mark(now)
+    while before != after:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = cut(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        inner = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(inner.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, after = after, mark(now)
+    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def similar_components(df: DataFrame, key: str, text: str, p: MinHash) -> tuple[DataFrame, DataFrame]:
+    """(id, rep): every text and its class's representative; (id, component) of the representatives with similar ones."""
+    members, reps = equal_classes(df, key, text, p)
+    banded = reps.select("id", F.explode("bands").alias("band"))
+    centres = banded.groupBy("band").agg(F.min("id").alias("c"), F.count("*").alias("n")).filter("n > 1").select("band", "c")
+    shared = cut(banded.join(centres, "band"), "shared")
+    stars = shared.filter("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    links = cut(decided(stars, reps, df, key, text, p), "stars")
+    # what the stars leave apart: members of one band in different components
+    known = components(links)
+    placed = shared.select("band", "id").join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
+    rest = cut(placed.join(mixed, "band", "left_semi"), "mixed")
+    if not rest.isEmpty():
+        x, y = (rest.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")).distinct() for k in "ab")
+        pairs = pairs_within(rest.select("band", "id"), "band", p.block, p.stripe).distinct().join(x, "a").join(y, "b").filter("ca <> cb").select("a", "b")
+        links = links.unionByName(decided(pairs, reps, df, key, text, p))
+        known = components(links)
+    return members, known
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "record_id", text: str = "core_text", p: MinHash = MinHash()) -> DataFrame:
@@ -320,8 +400,10 @@ def near_duplicate_pairs(df: DataFrame, key: str = "record_id", text: str = "cor
 
 
 def near_duplicate_groups(df: DataFrame, key: str = "record_id", text: str = "core_text", p: MinHash = MinHash()) -> DataFrame:
-    """(key, class_id, links): per text the representative of its class of equal texts and that class's links to others."""
-    members, links = similar_classes(df, key, text, p)
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
-    counted = ends.groupBy("rep").agg(F.count("*").alias("links"))
-    return members.join(counted, "rep", "left").select(F.col("id").alias(key), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    """(key, class_id, group_id, group_size): per text the least key of its equal texts, the least key of the texts that
+    it is connected with by similar ones, and how many those are."""
+    members, groups = similar_components(df, key, text, p)
+    placed = members.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("group_id"))
+    placed = cut(placed, "groups")
+    sizes = placed.groupBy("group_id").agg(F.count("*").alias("group_size"))
+    return placed.join(sizes, "group_id").select(F.col("id").alias(key), F.col("rep").alias("class_id"), "group_id", "group_size")

@@ -41,12 +41,49 @@ def collection(rng):
     return data + [(900, None), (901, ""), (902, "?!"), (903, "?!"), (904, "ab"), (905, "AB."), (906, "abcdefghi"), (907, base[0].upper()), (908, base[0].replace("a", "а"))]
 
 
+def connected(ids, pairs):
+    root = {k: k for k in ids}
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 160)] + [(200, k) for k in range(170, 260)]
+    got = dict(map(tuple, neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    want = connected({x for e in edges for x in e}, edges)
+    assert {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)} == got
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_template_is_one_group_and_a_chain_is_kept(spark):
+    """Fillings of one template share all bands; members that aren't like a band's least one still find each other."""
+    rng = random.Random(6)
+    head, tail = words(rng, 150), words(rng, 150)
+    data = [(k, f"{head} number {k} paid {k * 7919} {tail}") for k in range(300)]
+    w = words(rng, 120).split()
+    chain = []
+    for k in range(8):  # each like the next, the ends unlike
+        chain.append((1_000 + k, " ".join(w)))
+        w = w[12:] + words(rng, 12).split()
+    data += chain
+    df = spark.createDataFrame(data, "record_id long, core_text string")
+    got = {r["record_id"]: (r["group_id"], r["group_size"]) for r in neardup.near_duplicate_groups(df, p=MinHash(block=16)).collect()}
+    want = connected([k for k, _ in data], brute(data[:3] + chain) + [(0, k) for k in range(1, 300)])
+    assert {k: g for k, (g, _) in got.items()} == want and got[5][1] == 300
+
+
 def test_pairs_against_brute_force(spark):
     data = collection(random.Random(3))
     df = spark.createDataFrame([(k, t, "x") for k, t in data], "record_id long, core_text string, id string")
     assert rows(neardup.near_duplicate_pairs(df)) == [tuple(p) for p in brute(data)]
     groups = {r["record_id"]: r for r in neardup.near_duplicate_groups(df).collect()}
-    assert groups[905]["class_id"] == 904 and groups[905]["links"] == 0 and 902 not in groups and 900 not in groups
+    assert groups[905]["class_id"] == 904 and groups[905]["group_size"] == 2 and 902 not in groups and 900 not in groups
+    want = connected(sorted(groups), brute(data))
+    assert {k: r["group_id"] for k, r in groups.items()} == want
+    assert all(r["group_size"] == list(want.values()).count(r["group_id"]) for r in groups.values())
     assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
