@@ -2,8 +2,11 @@
 
 A text is cut into blocks (lines, or paragraphs where lines are wrapped). Inside a block, possible ends are the runs
 of closing marks, and in Thai the spaces between letters. A semi-Markov dynamic program picks whole spans: each span
-is scored by its length, the word that opens it and the word that closes it; ends inside balanced quotation marks or
-brackets are no possible ends. Work and memory are linear in the text: a span holds at most ``REACH`` possible ends.
+is scored by its length, the word that opens it, the word that closes it, and the balance of its quotation marks and
+brackets: a span that begins or ends between a mark and its partner pays ``UNBALANCED``, more than any words can bring.
+
+A span may have any length and hold any number of possible ends. Beyond ``ORDINARY`` characters its score falls evenly
+with its length, so the best of all farther beginnings is one running maximum; work is linear in the text.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from .arrow import map_batches
 from .forms import GREEK_CYRILLIC, LATIN, TWINS, _klass, plain_table
 
-REACH = 40
+ORDINARY = 400
+UNBALANCED = 1e6
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 STOPS = ".!?…。！？｡।॥؟۔‼⁇⁈⁉።។။։"
 #: Marks that end a sentence without a space after them.
@@ -87,28 +91,42 @@ _initials = re.compile(f"(?:{LETTERS}\\.)+{LETTERS}$")
 
 
 def _closed_pairs(block: str) -> list[tuple[int, int]]:
-    """Outermost balanced pairs (opening, closing position) of quotation marks and brackets."""
+    """Outermost balanced pairs (opening, closing position) of quotation marks and brackets, in order."""
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, list[int]] = {}  # closing mark -> depths of the open marks that it closes
     pairs: list[tuple[int, int]] = []
     for m in _marks.finditer(block):
         ch, at = m.group(), m.start()
-        if ch == '"':
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-        else:
-            if ch == "’" and block[at + 1 : at + 2].isalpha():  # an apostrophe
-                continue
-            depth = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if ch in PAIRS.get(stack[k][0], "")), None)
-        if depth is not None:
+        if ch == "’" and block[at + 1 : at + 2].isalpha():  # an apostrophe
+            continue
+        if waiting.get(ch):
+            depth = waiting[ch][-1]
             opened = stack[depth][1]
-            del stack[depth:]
+            while len(stack) > depth:  # marks left open inside stay without a partner
+                for partner in PAIRS.get(stack.pop()[0], '"'):
+                    waiting[partner].pop()
             while pairs and pairs[-1][0] > opened:
                 pairs.pop()
             pairs.append((opened, at))
         elif ch in PAIRS or ch == '"':
+            for partner in PAIRS.get(ch, '"'):
+                waiting.setdefault(partner, []).append(len(stack))
             stack.append((ch, at))
     return pairs
 
 
+class _Inside:
+    """Whether positions, asked in rising order, lie inside a balanced pair of a block."""
+
+    def __init__(self, block: str) -> None:
+        self.pairs, self.at = _closed_pairs(block) if _marks.search(block) else [], 0
+
+    def __call__(self, position: int) -> bool:
+        while self.at < len(self.pairs) and self.pairs[self.at][1] < position:
+            self.at += 1
+        return self.at < len(self.pairs) and self.pairs[self.at][0] < position
+
+
 def _known(word: str, words: frozenset) -> bool:
     if word in words:
         return True
@@ -205,21 +223,22 @@ def _closing(block: str, stop: int, marks: str, nxt: str, gap: bool) -> float:
 
 
 def _length(chars: int) -> float:
-    return -4 if chars < 3 else -1 if chars < 8 else 0 if chars <= 400 else (400 - chars) / 400
+    return -4 if chars < 3 else -1 if chars < 8 else 0 if chars <= ORDINARY else (ORDINARY - chars) / ORDINARY
 
 
 def _cuts(block: str, thai: bool) -> list[tuple[int, int]]:
     """Spans of a block: its best sequence of whole sentences."""
     size, ends = len(block), []
-    pairs = None
+    inside = None
     for m in _end.finditer(block):
         end = m.end()
         start = _spaces.match(block, end).end()
         if start >= size:
             break
-        if pairs is None:
-            pairs = _closed_pairs(block) if _marks.search(block) else []
-        if pairs and any(a < end <= b for a, b in pairs):
+        if inside is None:
+            inside = _Inside(block)
+        if inside(end):
+            ends.append((end, start, -UNBALANCED))
             continue
         marks = m.group()
         stop = block.find(" ", start)
@@ -231,9 +250,8 @@ def _cuts(block: str, thai: bool) -> list[tuple[int, int]]:
             weight += _opening(nxt)
         ends.append((end, start, weight))
     if thai and (gaps := list(_thai.finditer(block))):
-        if pairs is None:
-            pairs = _closed_pairs(block) if _marks.search(block) else []
-        ends = sorted(ends + [(m.start(), m.end(), 5.0) for m in gaps if not any(a < m.start() <= b for a, b in pairs)])
+        inside = _Inside(block)
+        ends = sorted(ends + [(m.start(), m.end(), -UNBALANCED if inside(m.start()) else 5.0) for m in gaps])
     if not ends:
         return [(0, size)]
     # An end of positive weight between stretches of ordinary length is in every best path: cutting there costs no
@@ -257,12 +275,19 @@ def _best(first: int, ends: list[tuple[int, int, float]], size: int) -> list[tup
     starts = [first, *(s for _, s, _ in ends)]
     closes = [*((e, w) for e, _, w in ends), (size, 0.0)]
     best, back = [0.0], [0]
+    far, far_top, far_at = 0, -1e18, 0  # beginnings more than an ordinary length away, and the best of them
     for j, (end, weight) in enumerate(closes):
+        while far < j and end - starts[far] > ORDINARY:
+            if best[far] + starts[far] / ORDINARY >= far_top:
+                far_top, far_at = best[far] + starts[far] / ORDINARY, far
+            far += 1
         top, at = -1e18, j
-        for i in range(j, max(-1, j - REACH), -1):
+        for i in range(j, far - 1, -1):
             score = best[i] + _length(end - starts[i])
             if score > top:
                 top, at = score, i
+        if far and far_top + (ORDINARY - end) / ORDINARY > top:
+            top, at = far_top + (ORDINARY - end) / ORDINARY, far_at
         best.append(top + weight)
         back.append(at)
     spans, j = [], len(closes)

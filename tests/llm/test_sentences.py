@@ -83,6 +83,35 @@ def test_long_texts_are_linear():
     assert len(units("One two three four. " * 20_000)) == 20_000
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 300), st.integers(0, 3), st.sampled_from([-1e6, -9.0, -4.5, -1.0, 0.5, 3.0, 9.0])), max_size=60))
+def test_program_against_all_spans(parts):
+    """The program over all beginnings, without the running maximum, has the same score."""
+    ends, at = [], 0
+    for size, gap, weight in parts:
+        ends.append((at + size, at + size + gap, weight))
+        at += size + gap
+    size = at + 7
+    starts, closes = [0, *(x[1] for x in ends)], [*((x[0], x[2]) for x in ends), (size, 0.0)]
+    best = [0.0]
+    for j, (end, weight) in enumerate(closes):
+        best.append(max(best[i] + sentences._length(end - starts[i]) for i in range(j + 1)) + weight)
+    got = sentences._best(0, ends, size)
+    weights = dict(closes)
+    score = sum(sentences._length(b - a) + weights[b] for a, b in got)
+    assert [a for a, _ in got] == [0, *(starts[starts.index(a)] for a, _ in got[1:])] and got[-1][1] == size
+    assert len({b for b, _ in closes}) < len(closes) or abs(score - best[-1]) < 1e-6 * max(1, abs(best[-1]))
+
+
+def test_quotations_behind_many_open_marks():
+    text = "‘a ‘b ‘c ‘d ‘e ‘f ‘g ‘h ‘i We said “It is done. We go. You stay.” They left. End of it."
+    assert cut(text)[-2:] == ["They left.", "End of it."] and "It is done. We go. You stay.”" in cut(text)[0]
+    names = "The list has " + " ".join(f"J. R. {chr(65 + k % 26)}. Foo" for k in range(60)) + " as members. Next one follows."
+    assert cut(names)[-1] == "Next one follows." and len(cut(names)) == 2
+    quoted = "He said: “" + "It is so. " * 2_000 + "” and left. Then we went."
+    assert cut(quoted)[-1] == "Then we went." and len(cut(quoted)) == 2
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "A is. B is.", True), (2, None, False), (3, "", None), (4, "--- \n", False)], "record_id long, core_text string, w boolean")
     got = sentences.sentence_units(df, wrapped=df["w"])
