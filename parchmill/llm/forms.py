@@ -7,8 +7,10 @@ Characters that readers cannot tell apart are written in one way:
 * accents are composed (NFC);
 * in a Latin word a Greek or Cyrillic letter becomes its Latin twin.
 
-Words are spelled by walking a trie of a public tokenizer's vocabulary with a weighted edit automaton in
-which look-alikes and invisible characters cost nothing; words that the trie doesn't hold go by the table.
+Every word that holds any such character is spelled by walking a trie of a public tokenizer's vocabulary with a
+weighted edit automaton: look-alikes and invisible characters cost nothing, the second of two Latin twins a little, and
+other edits 1 each, which is more than a spelling may cost, as different letters don't look the same. Words that the
+trie doesn't hold go by the table. Words of look-alikes only are spelled where their line reads Latin.
 Upper and lower case, accents and superscripts stay different, and ASCII text is never changed.
 """
 
@@ -82,62 +84,57 @@ LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ"
 GREEK_CYRILLIC = "Ͱ-ϿЀ-ԯἀ-῿"
 
 
+#: What the second of two Latin twins costs, and what a spelling may cost: several of those, but no other edit.
+SECOND_TWIN, BUDGET = 0.1, 0.9
+
+
+@lru_cache(maxsize=1)
+def readings() -> dict[str, tuple[tuple[float, str], ...]]:
+    """Character -> what it may show, with the cost of each."""
+    out = {ch: ((0.0, shown),) for ch, shown in plain_table().items()}
+    return out | {ch: tuple((k * SECOND_TWIN, t) for k, t in enumerate(twins)) for ch, twins in TWINS.items()}
+
+
 class LookalikeTrie:
-    """A trie of lower-case words, walked by a weighted edit automaton.
+    """A trie of lower-case words, as prefixes that tell whether they are words, walked by a weighted edit automaton.
 
-    Reading a character costs nothing if the edge's letter looks like it, or if the character is invisible;
-    replacing, dropping or adding a letter costs 1 each. A walk never costs more than ``budget``.
+    A state is a place in the token, a prefix and what has been said so far; the cheapest state goes on first. Replacing,
+    dropping or adding a letter costs 1. A walk never costs more than its budget.
     """
 
-    END = ""
-
     def __init__(self, words) -> None:
-        self.root: dict = {}
+        self.nodes: dict[str, bool] = {"": False}
         for word in words:
-            node = self.root
-            for ch in word:
-                node = node.setdefault(ch, {})
-            node[self.END] = True
+            for k in range(1, len(word)):
+                self.nodes.setdefault(word[:k], False)
+            self.nodes[word] = True
+        self.letters = sorted({ch for prefix in self.nodes for ch in prefix[-1:]})
 
-    def spell(self, token: str, budget: int = 0) -> str | None:
+    def spell(self, token: str, budget: float = BUDGET) -> str | None:
         """The cheapest word that ``token`` may show, in the case of its characters; None if there is none."""
-        plain, heap, order, seen = plain_table(), [(0, 0, 0, "", self.root)], 0, set()
+        shows, nodes, heap, order, seen = readings(), self.nodes, [(0.0, 0, 0, "", "")], 0, set()
         while heap:
-            cost, at, _, said, node = heapq.heappop(heap)
-            if (key := (at, id(node))) in seen:
+            cost, at, _, prefix, said = heapq.heappop(heap)
+            if (at, prefix) in seen:
                 continue
-            seen.add(key)
-            if at == len(token):
-                if self.END in node:
-                    return said
-                steps = []
-            else:
+            seen.add((at, prefix))
+            steps = []
+            if at < len(token):
                 ch = token[at]
-                shown = plain.get(ch, ch)
-                steps = [(0, said + shown, self._down(node, shown))] if shown else [(0, said, node)]
-                for twin in TWINS.get(ch, ""):
-                    steps.append((0, said + twin, self._down(node, twin)))
-                if cost < budget:
-                    steps += [(1, said + edge, nxt) for edge, nxt in node.items() if edge] + [(1, said, node)]
-            for extra, text, nxt in steps:
-                if nxt is not None:
+                steps = [(extra, at + 1, prefix + shown.lower(), said + shown) for extra, shown in shows.get(ch, ((0.0, ch),))]
+            elif nodes[prefix]:
+                return said
+            if cost + 1 <= budget:
+                near = [prefix + x for x in self.letters if prefix + x in nodes]
+                steps += [(1.0, at, p, said + p[-1]) for p in near]
+                if at < len(token):
+                    steps += [(1.0, at + 1, p, said + p[-1]) for p in near] + [(1.0, at + 1, prefix, said)]
+            for extra, place, p, text in steps:
+                if cost + extra <= budget and all(p[:k] in nodes for k in range(len(prefix) + 1, len(p) + 1)):
                     order += 1
-                    heapq.heappush(heap, (cost + extra, at + 1, order, text, nxt))
-            if cost < budget:
-                for edge, nxt in node.items():
-                    if edge:
-                        order += 1
-                        heapq.heappush(heap, (cost + 1, at, order, said + edge, nxt))
+                    heapq.heappush(heap, (cost + extra, place, order, p, text))
         return None
 
-    @staticmethod
-    def _down(node: dict, letters: str) -> dict | None:
-        for ch in letters.lower():
-            node = node.get(ch)
-            if node is None:
-                return None
-        return node
-
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
     """The whole words of a public tokenizer's vocabulary (a fixed file), without those of fewer than two letters."""
@@ -152,27 +149,69 @@ class Canonical:
     """Writes a text in the one form; ``path`` names the vocabulary's file."""
 
     def __init__(self, path: str = VOCABULARY) -> None:
-        self.path, self.trie = path, None
-        self.plain = plain_table()
-        self.changed = re.compile(_klass(self.plain))
+        self.path, self.plain = path, plain_table()
         accented = [chr(c) for c in [*range(0x370, 0x530), *range(0x1F00, 0x2000)] if unicodedata.normalize("NFD", chr(c))[0] in TWINS]
         self.twin = re.compile(_klass({*TWINS, *accented}))
         self.foreign = re.compile(f"[{GREEK_CYRILLIC}]")
         self.latin = re.compile(f"[{LATIN}]")
         self.word = re.compile("[^\\W\\d_]+(?:[̀-ͯ]+[^\\W\\d_]*)*")
-        self.cache: dict[str, str | None] = {}
+        self.changed = re.compile(_klass(self.plain))
+        in_words = {*TWINS, *accented, *(ch for ch, shown in self.plain.items() if not shown or shown.isalpha())}
+        self.odd = re.compile(_klass(in_words))
+        whole = {chr(c) for c in range(0x250) if chr(c).isalpha()} | {chr(c) for c in [*range(0x300, 0x530), *range(0x1E00, 0x2000)] if chr(c).isalpha() or 0x300 <= c < 0x370} | in_words
+        self.letters, self.rest = frozenset(whole), re.compile(_klass(whole) + "*")
+        self.cache: dict[str, str] = {}
+        self.trie: LookalikeTrie | None = None
+        self.by_trie = self.by_table = self.apart = 0
 
     def __call__(self, text: str) -> str:
         if text.isascii():
             return text
+        if self.odd.search(text):
+            text = self._tokens(text)
         if self.changed.search(text):
             plain = self.plain
             text = self.changed.sub(lambda m: plain[m.group()], text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return self._words(text) if self.twin.search(text) else text
-
-    def _words(self, text: str) -> str:
+        return self._lines(text) if self.twin.search(text) else text
+
+    def _tokens(self, text: str) -> str:
+        """The words around odd characters in their form; those of look-alikes only are left for their line to decide."""
+        out, done = [], 0
+        for m in self.odd.finditer(text):
+            at = first = m.start()
+            if at < done:
+                continue
+            while first > done and text[first - 1] in self.letters:
+                first -= 1
+            last = self.rest.match(text, at).end()
+            out += (text[done:first], self._token(text[first:last]))
+            done = last
+        return "".join([*out, text[done:]])
+
+    def _token(self, token: str) -> str:
+        if token in self.cache:
+            return self.cache[token]
+        if len(self.cache) > 200_000:
+            self.cache.clear()
+        plain = "".join([self.plain.get(ch, ch) for ch in token])
+        if not self.foreign.search(plain) or self.latin.search(plain):
+            plain = self._spelled(token, plain)
+        self.cache[token] = plain
+        return plain
+
+    def _spelled(self, token: str, plain: str) -> str:
+        """A word by the trie, or by the table if the trie doesn't hold it."""
+        if self.trie is None:
+            self.trie = LookalikeTrie(vocabulary(self.path))
+        said, table = self.trie.spell(token), self._table(plain)
+        self.by_trie += said is not None
+        self.by_table += said is None
+        self.apart += said is not None and said != table
+        return table if said is None else said
+
+    def _lines(self, text: str) -> str:
         out = []
         for line in text.split("\n"):
             if self.twin.search(line):
@@ -180,14 +219,11 @@ class Canonical:
 
                 def said(m, line=line, held=held):
                     word = m.group()
-                    if word.isascii():
+                    if word.isascii() or not self._alike(word):
                         return word
-                    kind = self._spell(word)
-                    if kind is None:  # only look-alikes: the line decides, and the text where the line doesn't say
-                        if not held:
-                            held.append(self._reads_latin(line, text))
-                        return self._table(word) if held[0] else word
-                    return kind
+                    if not held:  # only look-alikes: the line decides, and the text where the line doesn't say
+                        held.append(self._reads_latin(line, text))
+                    return self._spelled(word, word) if held[0] else word
 
                 line = self.word.sub(said, line)
             out.append(line)
@@ -201,26 +237,13 @@ class Canonical:
                 return True
         return False
 
-    def _spell(self, word: str) -> str | None:
-        """The word's form; None if every letter is a look-alike and nothing in the word says which script it is."""
-        if word in self.cache:
-            return self.cache[word]
-        if len(self.cache) > 200_000:
-            self.cache.clear()
+    def _alike(self, word: str) -> bool:
+        """Whether every letter of a word is a look-alike."""
+        return self.foreign.search(word) is not None and all(ch in TWINS or unicodedata.combining(ch) for ch in unicodedata.normalize("NFD", word))
+
+    def _table(self, word: str) -> str:
         if not self.foreign.search(word):
-            form = word
-        elif self.latin.search(word):
-            if self.trie is None:
-                self.trie = LookalikeTrie(vocabulary(self.path))
-            form = self.trie.spell(word) or self._table(word)
-        else:
-            letters = unicodedata.normalize("NFD", word)
-            form = None if all(ch in TWINS or unicodedata.combining(ch) for ch in letters) else word
-        self.cache[word] = form
-        return form
-
-    @staticmethod
-    def _table(word: str) -> str:
+            return word
         letters = unicodedata.normalize("NFD", word)
         return unicodedata.normalize("NFC", "".join(TWINS[ch][0] if ch in TWINS else ch for ch in letters))
 

@@ -2,7 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from parchmill.llm import lookalikes
-from parchmill.llm.forms import LookalikeTrie, canonical, plain_table
+from parchmill.llm.forms import Canonical, LookalikeTrie, canonical, plain_table
 from tests.conftest import rows
 
 
@@ -32,6 +32,35 @@ def test_ambiguous_letters_are_spelled_by_the_trie():
     assert trie.spell("titlle", budget=1) == "title"
 
 
+def test_trie_and_table_differ_where_a_letter_has_two_twins():
+    """The table knows one twin of a letter; the trie takes the one that makes a word, and no edit that shows."""
+    with_trie, table_only = canonical(), Canonical("/no/such/file")
+    for shown, table, want in [("Іeave", "Ieave", "leave"), ("ӏntern", "lntern", "Intern"), ("Нeӏp", "Help", "Help"), ("finаncial", "financial", "financial")]:
+        assert table_only(shown) == table and with_trie(shown) == want
+    assert with_trie.apart >= 2 and table_only.by_trie == 0
+    trie = LookalikeTrie(["leave", "sleeve"])
+    assert trie.spell("ӏeave") == "leave" and trie.spell("leaven") is None and trie.spell("ſleave") is None
+    assert trie.spell("leаven", budget=1.0) == "leave" and trie.spell("") is None
+
+
+def test_every_odd_word_goes_to_the_trie_first():
+    form = Canonical()
+    for odd, want in [("ｆｉｎａｎｃｉａｌ", "financial"), ("fi\u200bnan\u00adcial", "financial"), ("ﬁnancial", "financial"), ("Finаnciaӏ", "Financial")]:
+        assert form(odd) == want
+    assert form.by_trie == 4 and form.by_table == 0
+    assert form("Тhе хсрх") == "The xcpx" and form.by_table == 1  # a word of look-alikes in a line that reads Latin
+    assert form("Мос\u200bква") == "Москва" and form("αβx") == "aβx"
+
+
+def test_long_runs_are_linear():
+    import time
+
+    began = time.process_time()
+    assert len(canonical()("a" * 300_000 + "\u200b" + "b" * 300_000)) == 600_000
+    assert len(canonical()("ａ" * 200_000 + " é" * 100_000)) == 400_000
+    assert time.process_time() - began < 20
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_form_is_stable_and_keeps_ascii(text):
