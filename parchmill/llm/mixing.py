@@ -5,8 +5,11 @@ finish time is the source's tokens up to it, divided by the source's weight. Doc
 by finish time and the order is cut at the total budget, so at every point of the order the sources have had their
 shares, as far as whole documents allow.
 
-Running sums are taken in two steps (:mod:`..operators.running`), so no source and no order ever passes through one
-task. Only keys and sizes are shuffled, never texts.
+The totals of the sources tell, before anything is ordered, by which virtual time the budget is spent. Repetitions and
+documents that finish later are never made, so the order holds little more than the budget. Up to that time every
+source gives tokens at its weight, so equal steps of virtual time hold equal numbers of tokens and are the range
+partitions. Running sums are taken in two steps (:mod:`..operators.running`), so no source and no order ever passes
+through one task. Only keys and sizes are shuffled, never texts.
 
 Defined results: null and empty texts have no tokens and are left out; sources without a target, and targets of share
 0, are left out; a source that runs out of repetitions stays below its share, which the report shows; other columns
@@ -19,7 +22,7 @@ import base64
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.running import bucket_count, running
@@ -59,6 +62,25 @@ def token_counts(df: DataFrame, key: str, text: str, keep: list[str], ranks: str
     return map_batches(source, make, schema)
 
 
+def spent_by(totals: DataFrame, budget: int) -> float:
+    """The virtual time by which the sources together have given the budget; ``totals`` has (total, weight, max_repeats).
+
+    A source gives tokens at its weight until its repetitions are used up. Sources end in the order of that time, so two
+    running sums over the table of sources, a row each, tell how much has been given when each one ends.
+    """
+    ends = totals.select((F.col("total") * F.col("max_repeats") / F.col("weight")).alias("end"), F.col("weight"), (F.col("total") * F.col("max_repeats")).alias("all"))
+    ends = ends.groupBy("end").agg(F.sum("weight").alias("w"), F.sum("all").alias("all"))
+    before = Window.partitionBy(F.lit(0)).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(F.lit(0)).orderBy("end").rowsBetween(0, Window.unboundedFollowing)
+    given = ends.select("end", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("done"), F.sum("w").over(after).alias("live"))
+    # the first source that is live when the budget is spent
+    spent = given.filter(F.col("done") + F.col("end") * F.col("live") >= budget).agg(F.min_by((F.lit(budget) - F.col("done")) / F.col("live"), "end").alias("first"))
+    found = spent.first()["first"]
+    if found is None:  # the budget is more than all sources have
+        found = ends.agg(F.max("end").alias("m")).first()["m"] or 0.0
+    return max(0.0, float(found))
+
+
 def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source", ranks: str = RANKS) -> DataFrame:
     """(position, key, source, copy, tokens): the chosen documents in their order; ``position`` counts tokens before it.
 
@@ -69,21 +91,24 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     near = F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few
     counted = token_counts(documents, key, text, [source], ranks)
     sized = cut(counted.join(near, counted[source] == F.col("__s")).filter("tokens > 0").select(F.col(key).alias("id"), F.col("__s").alias("source"), "tokens", "weight", "max_repeats"), "sizes")
-    totals = sized.groupBy("source", "weight", "max_repeats").agg(F.sum("tokens").alias("total"), F.count("*").alias("n"))
-    facts = totals.agg(F.min(F.col("total") * F.col("max_repeats") / F.col("weight")).alias("fills"), F.sum(F.col("n") * F.col("max_repeats")).alias("rows")).first()
+    totals = cut(sized.groupBy("source", "weight", "max_repeats").agg(F.sum("tokens").alias("total"), F.max("tokens").alias("largest"), F.count("*").alias("n")), "totals")
+    facts = totals.agg(F.min(F.col("total") * F.col("max_repeats") / F.col("weight")).alias("fills"), F.sum("largest").alias("largest")).first()
     if budget is None:
         budget = int(facts["fills"] or 0)
-    parts = bucket_count(facts["rows"] or 0)
-    copies = sized.withColumn("copy", F.explode(F.sequence(F.lit(1), "max_repeats")))
+    # each source may be at most one document behind, so whatever finishes later is beyond the cut and never made
+    last = spent_by(totals, budget + (facts["largest"] or 0))
+    needed = F.least(F.col("max_repeats"), F.floor(F.lit(last) * F.col("weight") / F.col("total")).cast("int") + 1)
+    per = totals.select("source", F.col("total").alias("all"), needed.alias("copies"))
+    few_sources = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = totals.select(F.sum(F.col("n") * needed).alias("r")).first()["r"] or 0
+    parts = bucket_count(rows)
+    copies = sized.join(F.broadcast(per) if few_sources else per, "source").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     shuffled = copies.withColumn("h", F.xxhash64("id", "copy", F.lit(seed)))
     spread = F.floor((F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))) * parts)
     ordered = running(shuffled, ["source", "copy"], spread, [F.shiftrightunsigned("h", 1), "h", "id"], "tokens", "upto")
-    per = totals.select("source", "total")
-    ordered = ordered.join(F.broadcast(per) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else per, "source")
-    timed = ordered.withColumn("finish", ((F.col("copy") - 1) * F.col("total") + F.col("upto")) / F.col("weight"))
-    timed = cut(timed.select("id", "source", "copy", "tokens", "finish"), "finish")
-    last = timed.agg(F.max("finish").alias("m")).first()["m"] or 1.0
-    place = F.least(F.floor(F.col("finish") / F.lit(last) * parts), F.lit(parts - 1))
+    timed = ordered.withColumn("finish", ((F.col("copy") - 1) * F.col("all") + F.col("upto")) / F.col("weight"))
+    timed = cut(timed.filter(F.col("finish") <= F.lit(last) * 1.000001).select("id", "source", "copy", "tokens", "finish"), "finish")
+    place = F.least(F.floor(F.col("finish") / F.lit(last or 1.0) * parts), F.lit(parts))
     queued = running(timed.withColumn("one", F.lit(0)), ["one"], place, ["finish", "source", "id", "copy"], "tokens", "total")
     return queued.filter(F.col("total") <= budget).select((F.col("total") - F.col("tokens")).alias("position"), F.col("id").alias(key), "source", "copy", "tokens")
 

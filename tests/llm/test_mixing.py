@@ -36,6 +36,25 @@ def test_shares_and_repeats(spark, tables):
     assert abs(half["a"] / sum(half.values()) - 0.5) < 0.05
 
 
+def test_time_when_the_budget_is_spent(spark):
+    totals = spark.createDataFrame([(100, 0.5, 1), (300, 0.3, 2), (50, 0.2, 4)], "total long, weight double, max_repeats int")
+    for budget in (1, 50, 200, 350, 700, 899, 900):
+        at = mixing.spent_by(totals, budget)
+        assert abs(sum(min(t * m, at * w) for t, w, m in [(100, 0.5, 1), (300, 0.3, 2), (50, 0.2, 4)]) - budget) < 1e-6
+    assert mixing.spent_by(totals, 5_000) == 2_000 and mixing.spent_by(totals.limit(0), 5) == 0
+
+
+def test_nothing_is_lost_by_pruning(spark, tables):
+    """Against plain fair queueing of all repetitions."""
+    docs, targets = tables
+    sized = {r[0]: (r[1], r[2]) for r in mixing.token_counts(docs.drop("tokens"), "doc_id", "text", ["source"]).select("doc_id", "source", "tokens").collect() if r[2]}
+    everything = {(r["doc_id"], r["copy"]): r for r in mixing.mixture(docs, targets, budget=10**9).collect()}
+    for budget in (500, 7_000):
+        got = {(r["doc_id"], r["copy"]) for r in mixing.mixture(docs, targets, budget=budget).collect()}
+        assert got == {k for k, r in everything.items() if r["position"] + r["tokens"] <= budget}
+    assert len(everything) == sum({"a": 1, "b": 2, "c": 4}.get(s, 0) for s, _ in sized.values())
+
+
 def test_budget_and_order(spark, tables):
     docs, targets = tables
     one = mixing.mixture(docs, targets, budget=3_000)
