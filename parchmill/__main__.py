@@ -22,27 +22,16 @@ from .session import session
 from .sources import readers, writers
 
 
-def _all_queries() -> dict:
-    try:
-        import importlib
-
-        extra = importlib.import_module("__spark_entry__").queries()
-    except ImportError:
-        extra = {}
-    return {**catalog.queries(), **extra}
-
-
 def run_process(spark, a) -> None:
     """Raw record files to windows with scores and decisions, nested records by status, and a summary line."""
     config = ProcessConfig.of(load_json(a.config)) if a.config else ProcessConfig()
     records = readers.raw_records(spark, a.records).select(F.col("metadata.filing.id").alias("id"), "core_text").filter("id IS NOT NULL")
     keywords = spark.read.parquet(a.keywords) if a.keywords else None
-    decided = process.process(records, config, keywords)
+    decided, excluded = process.run(records, config, keywords)
     mode = "overwrite" if a.force else "errorifexists"
     decided.write.mode(mode).parquet(f"{a.out}/windows")
     kept = spark.read.parquet(f"{a.out}/windows")
     writers.write_processed(process.nested(kept), f"{a.out}/records", config.version, a.force)
-    _, excluded = process.extract(process.clean(records, config), config)
     writers.write_summary(process.summary(kept, records, excluded), f"{a.out}/summary")
 
 
@@ -64,7 +53,7 @@ def run_export(spark, a) -> None:
 
 
 def run_query(spark, a) -> None:
-    result = _all_queries()[a.name](spark, a.data)
+    result = catalog.queries()[a.name](spark, a.data)
     if a.out:
         result.write.mode("overwrite").parquet(a.out)
     else:
@@ -97,13 +86,11 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     if a.verb == "list":
-        print("\n".join(sorted(_all_queries())))
+        print("\n".join(sorted(catalog.queries())))
         return
     spark = session(a.master)
     {"process": run_process, "classify": run_classify, "export": run_export, "query": run_query}[a.verb](spark, a)
 
 
-
-
 if __name__ == "__main__":
     main()

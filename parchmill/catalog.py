@@ -34,11 +34,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _all() -> None:
+    from . import catalog_eval, catalog_files, catalog_models, catalog_store, catalog_text  # noqa: F401 - each registers its queries
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_sql)
 
 
@@ -115,22 +121,36 @@ def merged_context(spark, d):
     return windows.merged_context(_found(spark, d), "record_id", records.select("record_id", windows.split_sentences("core_text").alias("sentences")))
 
 
-@query()
+_VECTOR = "[" + ", ".join(f"len({{t}}) - len(replace({{t}}, '{ch}', ''))" for ch in "abcdefghijklmnopqrstuvwxyz") + "]::DOUBLE[]"
+_CLEANED = _WINDOWS.replace("FROM raw_records WHERE core_text IS NOT NULL", r"FROM (SELECT record_id, regexp_replace(regexp_replace(trim(translate(core_text, chr(160) || chr(10) || chr(13), '   ')), 'By:\s*/s/\s*[A-Za-z .-]+', '', 'gi'), '/s/\s*[A-Za-z .-]+', '', 'g') AS core_text FROM raw_records) WHERE core_text IS NOT NULL")
+_PROCESSED = _CLEANED + f""",
+bad AS (SELECT record_id, count(*) AS excluded FROM wins WHERE contains(lower(context), 'press release') OR contains(lower(context), 'all rights reserved') GROUP BY record_id),
+folded AS (SELECT record_id, string_agg(matched_phrase, ', ' ORDER BY hit_sentence_index, p) AS matched_phrase, context, min(hit_sentence_index) AS hit_sentence_index, arg_min(context_start_index, (hit_sentence_index, p)) AS context_start_index,
+  arg_min(context_end_index, (hit_sentence_index, p)) AS context_end_index, arg_min(char_cutoff_applied, (hit_sentence_index, p)) AS char_cutoff_applied FROM wins WHERE record_id NOT IN (SELECT record_id FROM bad) GROUP BY record_id, context),
+scored AS (SELECT *, round(list_cosine_similarity({_VECTOR.format(t="lower(context)")}, {_VECTOR.format(t=f"'{CONFIG.reference.lower()}'")}), 4) AS similarity_score FROM folded)"""
+_PROCESS_SQL = f"""WITH {_PROCESSED}, f AS (SELECT r.record_id, len(list_intersect(list_distinct(list_transform(keywords, lambda k: lower(trim(k, '"''')))), ['nps', 'net promoter score'])) > 0 AS scope FROM raw_records r JOIN filings ON r.metadata.filing.id = filings.id),
+j AS (SELECT s.* EXCLUDE (similarity_score), coalesce(f.scope, FALSE) AS scope, CASE WHEN coalesce(f.scope, FALSE) THEN similarity_score END AS similarity_score FROM scored s LEFT JOIN f ON s.record_id = f.record_id)
+SELECT record_id, matched_phrase, context, hit_sentence_index, context_start_index, context_end_index, char_cutoff_applied, similarity_score, CASE WHEN NOT scope OR similarity_score >= 0.5 THEN 'accept' ELSE 'reject' END AS decision FROM j"""
+
+
+@query(_PROCESS_SQL)
 def process_records(spark, d):
-    """The whole plan from raw records to decisions (the hashing embedder has no SQL; tests hold it against plain Python)."""
+    """The whole plan from raw records to decisions, with the plainest embedder, which SQL can count as well."""
     filings = table(spark, d, "filings").select(F.col("id").alias("filing_id"), "keywords")
     records = table(spark, d, "raw_records").select(F.col("record_id"), "core_text", F.col("metadata.filing.id").alias("filing_id"))
     keywords = records.join(filings, "filing_id").select("record_id", "keywords")
-    return process.process(records, CONFIG, keywords, "record_id").drop("in_scope")
+    return process.process(records, CONFIG, keywords, "record_id", make=vectors.LetterEmbedder).drop("in_scope")
 
 
-@query()
+@query(f"""WITH {_PROCESSED}, per AS (SELECT record_id, count(*) AS total, count(*) FILTER (similarity_score >= 0.8) AS acc, count(*) FILTER (similarity_score < 0.8) AS rej, avg(similarity_score) AS a, min(similarity_score) AS lo, max(similarity_score) AS hi, sum(similarity_score) AS s FROM scored GROUP BY record_id),
+u AS (SELECT r.record_id, coalesce(total, 0) AS total, coalesce(acc, 0) AS acc, coalesce(rej, 0) AS rej, a, lo, hi, s, coalesce(excluded, 0) AS excluded FROM raw_records r LEFT JOIN per USING (record_id) LEFT JOIN bad USING (record_id))
+SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (excluded > 0) AS BIGINT) AS records_excluded, CAST(count(*) FILTER (excluded = 0 AND total = 0) AS BIGINT) AS records_skipped, CAST(count(*) FILTER (total > 0) AS BIGINT) AS records_processed,
+  CAST(count(*) FILTER (acc > 0) AS BIGINT) AS accepted_total, CAST(count(*) FILTER (total > 0 AND acc = total) AS BIGINT) AS accepted_full, CAST(count(*) FILTER (acc > 0 AND rej > 0) AS BIGINT) AS accepted_partial, CAST(count(*) FILTER (rej > 0) AS BIGINT) AS rejected_total,
+  CAST(sum(total) AS BIGINT) AS windows, CAST(sum(acc) AS BIGINT) AS windows_accepted, CAST(sum(rej) AS BIGINT) AS windows_rejected, CAST(sum(excluded) AS BIGINT) AS windows_excluded, round(min(lo), 3) AS min_score, round(max(hi), 3) AS max_score, round(sum(s) / sum(total), 3) AS avg_score, round(avg(a), 3) AS avg_filing FROM u""")
 def process_summary(spark, d):
     records = table(spark, d, "raw_records").select("record_id", "core_text")
-    config = ProcessConfig(RULE, 0.2, Scope(None))
-    found, excluded = process.extract(process.clean(records, config, "record_id"), config, "record_id")
-    decided = process.score(found, config).withColumn("decision", filters.decision("similarity_score", config.threshold))
-    return process.summary(decided, records, excluded, "record_id")
+    decided, excluded = process.run(records, ProcessConfig(RULE, 0.8, Scope(None)), None, "record_id", make=vectors.LetterEmbedder)
+    return rounded(process.summary(decided, records, excluded, "record_id"), 3)
 
 
 # --- scores, thresholds and scopes -----------------------------------------------------------------------------
@@ -451,16 +471,6 @@ def systematic_sample(spark, d):
     return sampling.systematic_sample(c, "c_acctbal", "c_custkey", 8, sampling.bucket("c_acctbal", 1000.0, 0.0, 9000.0))
 
 
-@query()
-def bucket_sample(spark, d):
-    return sampling.bucket_sample(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", 5, 1000.0)
-
-
-@query()
-def holdout_split(spark, d):
-    return sampling.holdout(table(spark, d, "classifications").select("id", "filing_id"), ["id"])
-
-
 # --- scalar functions ------------------------------------------------------------------------------------------
 
 
@@ -491,11 +501,6 @@ def casts(spark, d):
     return r.select("record_id", F.col("metadata.filing.file_date").try_cast("date").alias("file_date"), values.as_property(s, "float").alias("amount"), values.as_property(s, "int").alias("whole"))
 
 
-@query()
-def numeric_candidates(spark, d):
-    return values.numeric_candidates(table(spark, d, "context_windows").select("window_id", "context"), "window_id", "context", -100, 100).drop("context")
-
-
 @query("SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
 def hourly_events(spark, d):
     return flows.windowed_counts(table(spark, d, "events"), "ts", ["event_type"])

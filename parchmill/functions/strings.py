@@ -99,10 +99,15 @@ def entity_name(title: Column | str, tickers: Column | str, cik: Column | str) -
     return F.concat(_c(title), group, F.lit(" (CIK "), _c(cik), F.lit(")"))
 
 
-def range_start(macro: Column | str, to_date: Column | str) -> Column:
-    """First date of a range ``Ny`` or ``Nd`` before a date (29 February falls on the 28th); null for another macro."""
-    n = F.regexp_extract(_c(macro), r"^(\d+)[yd]$", 1).try_cast("int")
-    return F.when(F.endswith(_c(macro), F.lit("y")), F.add_months(_c(to_date), -12 * n)).when(F.endswith(_c(macro), F.lit("d")), F.date_sub(_c(to_date), n))
+def range_start(macro: Column | str, to_date: Column | str, otherwise: Column | str | None = None) -> Column:
+    """First date of a range ``Ny`` or ``Nd`` before a date (29 February falls on the 28th).
+
+    Another unit after a number gives the date itself; what is no macro leaves ``otherwise`` as it is.
+    """
+    n = F.regexp_extract(_c(macro), r"^\s*([+-]?\d+).$", 1).try_cast("int")
+    unit = F.lower(F.right(_c(macro), F.lit(1)))
+    start = F.when(unit == "y", F.add_months(_c(to_date), -12 * n)).when(unit == "d", F.date_sub(_c(to_date), n)).otherwise(_c(to_date))
+    return F.when(n.isNotNull(), start).otherwise(F.lit(None).cast("date") if otherwise is None else _c(otherwise).cast("date"))
 
 
 def duration(seconds: Column | str) -> Column:

@@ -43,9 +43,25 @@ def normalised(vector: Column | str) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(own == 0, F.lit(1.0)).otherwise(own))
 
 
-def round_half_even(col: Column, digits: int) -> Column:
-    """Half-even rounding, as for stored scores."""
-    return F.bround(col, digits)
+def round_exactly(col: Column, digits: int) -> Column:
+    """Rounding of the exact binary value, halves to even, as stored scores are rounded; the JVM's ``round`` takes the decimal text.
+
+    The value times a power of ten is taken in two exact halves, so that it is told from a half without an error.
+    """
+    scale = float(10**digits)
+    wide = col * F.lit(134217729.0)  # 2^27 + 1 parts a double into two halves of 26 bits
+    high = wide - (wide - col)
+    below = F.floor(col * scale).cast("double")
+    over = (high * scale - (below + 0.5)) + (col - high) * scale
+    up = F.when(over != 0, over > 0).otherwise(F.pmod(below, F.lit(2.0)) == 1)
+    return F.when(F.abs(col) < F.lit(1e15 / scale), (below + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(col)
+
+
+class LetterEmbedder:
+    """The plainest embedder: how often each letter from a to z stands in the lower-case text."""
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return np.array([[low.count(ch) for ch in "abcdefghijklmnopqrstuvwxyz"] for low in map(str.lower, texts)], np.float32).reshape(-1, 26)
 
 
 class HashingEmbedder:

@@ -19,11 +19,26 @@ from pyspark.sql import functions as F
 
 from ..config import Category, stable_id
 from ..functions import values
-from ..functions.vectors import HashingEmbedder, embed
+from ..functions.vectors import HashingEmbedder, dot, embed
 from ..operators.metrics import best_candidates, classification_report
+from ..session import cut
 
 REGISTRY: dict[str, type[Model]] = {}
 _made: dict[str, Model] = {}
+#: Usual model names, as a model here with its options, and other names for them.
+PRESETS: dict[str, tuple[str, dict]] = {
+    "bge_base": ("embedding_svm", {}),
+    "bge_advanced": ("embedding_svm", {"shared": False, "instruction": "{property}: "}),
+    "bge_svm": ("unified", {}),
+    "qwen_advanced": ("embedding_svm", {"shared": False, "instruction": "Instruct: {property}\nQuery: "}),
+    "qwen_candidate": ("numeric_candidates", {}),
+    "svm": ("unified", {}),
+    "deberta_base": ("multi_label", {}),
+    "llm": ("language_model", {}),
+    "ollama_llm": ("language_model", {}),
+    "openai": ("language_model", {}),
+}
+ALIASES = {"hf_llm": "llm", "qwen_unified": "svm"}
 
 
 class NotTrained(RuntimeError):
@@ -69,7 +84,7 @@ class Model(ABC):
         if not self.is_trained:
             raise NotTrained(self.name)
         began = time.monotonic()
-        said = self.classify(df, text, into).cache()
+        said = cut(self.classify(df, text, into), "said")
         rows = said.count()
         seconds = (time.monotonic() - began) / max(1, rows)
         parts = []
@@ -87,8 +102,10 @@ class Model(ABC):
 
 
 def make(name: str, category: Category, **options) -> Model:
-    """A model by name; the same name, category and plain options give the same instance."""
-    cls = REGISTRY[name]
+    """A model by name or preset, in any case; the same name, category and plain options give the same instance."""
+    name = ALIASES.get(name.lower(), name.lower())
+    name, preset = PRESETS.get(name, (name, {}))
+    cls, options = REGISTRY[name], {**preset, **options}
     key = stable_id([name, category.to_dict(), {k: repr(v) for k, v in sorted(options.items())}])
     if key not in _made:
         _made[key] = cls(category, **options)
@@ -128,7 +145,8 @@ class EmbeddingSVM(Model):
     def train(self, df: DataFrame, text: str) -> EmbeddingSVM:
         """Fit on the rows with a text; per property on those with a label. A label of one kind gives a constant."""
         rows = df.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-        shared = rows.withColumn("__v", array_to_vector(self._vector(text, ""))).cache() if self.options.get("shared", True) else None
+        # embedded once for all properties
+        shared = cut(rows.withColumn("__a", self._vector(text, "")), "embedded").withColumn("__v", array_to_vector("__a")) if self.options.get("shared", True) else None
         for p in self.category.properties:
             base = shared if shared is not None else rows.withColumn("__v", array_to_vector(self._vector(text, p.name)))
             labelled = base.filter(F.col(p.name).isNotNull()).withColumn("__y", values.truthy(F.col(p.name)))
@@ -139,8 +157,6 @@ class EmbeddingSVM(Model):
             scaler = StandardScaler(inputCol="__v", outputCol="__x", withMean=True, withStd=True).fit(labelled)
             svm = LinearSVC(featuresCol="__x", labelCol="__y", regParam=self.options.get("reg", 0.01), maxIter=self.options.get("iterations", 50)).fit(scaler.transform(labelled))
             self.models[p.name] = (scaler, svm)
-        if shared is not None:
-            shared.unpersist()
         return self
 
     def classify(self, df: DataFrame, text: str, into: str = "answer") -> DataFrame:
@@ -191,7 +207,7 @@ class CandidateModel(Model):
         from ..operators.joins import first_close_column
 
         names = [p.name for p in self.category.properties]
-        rows = df.withColumn("__key", F.monotonically_increasing_id()).cache()
+        rows = cut(df.withColumn("__key", F.monotonically_increasing_id()), "labelled")
         own = {f"__t{k}": n for k, n in enumerate(names)}  # apart from the candidates' columns
         truth = rows.select("__key", *[values.as_number(F.col(n)).alias(t) for t, n in own.items()])
         close = first_close_column(truth, "value", list(own))
@@ -205,7 +221,6 @@ class CandidateModel(Model):
         index = F.element_at(F.create_map(*[x for k, c in enumerate(self.classes) for x in (F.lit(c), F.lit(float(k)))]), F.col("__c"))
         weight = F.element_at(F.create_map(*[x for c in self.classes for x in (F.lit(c), F.lit(total / len(self.classes) / counts[c]))]), F.col("__c"))
         self.model = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", regParam=self.options.get("reg", 0.01), family="multinomial", maxIter=50).fit(labelled.withColumn("__y", index).withColumn("__w", weight))
-        rows.unpersist()
         return self
 
     def classify(self, df: DataFrame, text: str, into: str = "answer") -> DataFrame:
@@ -253,21 +268,54 @@ class UnifiedModel(Model):
 class MultiLabelModel(Model):
     """An encoder with one logit per boolean property; a property is true from a probability of one half.
 
-    Option ``make``: a factory of a function from texts to logits (rows of one number per property).
+    Options: ``logits``, a factory of a function from texts to logits (rows of one number per property), needs no
+    training. Without it a logistic head per property is trained over an embedding: ``make`` (embedder factory), ``reg``,
+    ``iterations``, and ``threshold`` (default one half).
     """
 
     name = "multi_label"
 
+    def __init__(self, category: Category, **options) -> None:
+        super().__init__(category, **options)
+        self.heads: dict[str, object] = {}
+
     def supports(self, kind: str) -> bool:
         return values.property_type(kind).typeName() == "boolean"
 
+    @property
+    def is_trained(self) -> bool:
+        return "logits" in self.options or len(self.heads) == len(self.category.properties)
+
+    def _vector(self, text: str) -> Column:
+        return embed(F.coalesce(F.col(text), F.lit("")), self.options.get("make", HashingEmbedder), unit=True)
+
+    def train(self, df: DataFrame, text: str) -> MultiLabelModel:
+        """Fit each property's head on its labelled rows; a label of one kind gives a constant."""
+        if "logits" in self.options:
+            return self
+        rows = cut(df.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").withColumn("__a", self._vector(text)), "embedded").withColumn("__v", array_to_vector("__a"))
+        for p in self.category.properties:
+            labelled = rows.filter(F.col(p.name).isNotNull()).withColumn("__y", values.truthy(F.col(p.name)))
+            kinds = [r["__y"] for r in labelled.select("__y").distinct().limit(2).collect()]
+            if len(kinds) < 2:
+                self.heads[p.name] = 50.0 if kinds and kinds[0] else -50.0
+                continue
+            fitted = LogisticRegression(featuresCol="__v", labelCol="__y", regParam=self.options.get("reg", 0.001), maxIter=self.options.get("iterations", 50)).fit(labelled)
+            self.heads[p.name] = (fitted.coefficients.toArray().tolist(), float(fitted.intercept))
+        return self
+
     def classify(self, df: DataFrame, text: str, into: str = "answer") -> DataFrame:
-        factory = self.options.get("make")
-        if factory is None:
-            raise NotTrained("multi_label needs an encoder")
-        logits = embed(F.coalesce(F.col(text), F.lit("")), factory)
-        fields = [(F.coalesce(values.sigmoid(F.col("__l")[k].cast("double")) >= 0.5, F.lit(False))).alias(p.name) for k, p in enumerate(self.category.properties)]
-        return df.withColumn("__l", logits).withColumn(into, F.struct(*fields)).drop("__l")
+        if not self.is_trained:
+            raise NotTrained("multi_label needs an encoder or labels")
+        least = self.options.get("threshold", 0.5)
+        if "logits" in self.options:
+            out = df.withColumn("__l", embed(F.coalesce(F.col(text), F.lit("")), self.options["logits"]))
+            logits = [F.col("__l")[k].cast("double") for k in range(len(self.category.properties))]
+        else:
+            out = df.withColumn("__l", self._vector(text))
+            logits = [F.lit(h) if isinstance(h, float) else dot(F.col("__l"), F.array(*map(F.lit, h[0]))) + F.lit(h[1]) for h in (self.heads[p.name] for p in self.category.properties)]
+        fields = [F.coalesce(values.sigmoid(x) >= least, F.lit(False)).alias(p.name) for x, p in zip(logits, self.category.properties, strict=True)]
+        return out.withColumn(into, F.struct(*fields)).select(*df.columns, into)
 
 
 class LanguageModel(Model):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import keyword_combination
+from ..session import cut
+from .running import bucket_count, running
 
 
 def three_valued_counts(df: DataFrame, column: str) -> DataFrame:
@@ -108,13 +110,21 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
 
 
 def counts_with_cumulative(df: DataFrame, column: str, fill: bool = True) -> DataFrame:
-    """(value, n, share): counts of whole numbers, missing ones between as 0, with the cumulative share."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    """(value, n, share): counts of whole numbers, missing ones between as 0, with the cumulative share.
+
+    Missing numbers come from a distributed range, and the sums run by buckets, so one outlier fills no task.
+    """
+    counts = cut(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("value")).agg(F.count("*").alias("n")), "counts")
+    edge = counts.agg(F.min("value").alias("a"), F.max("value").alias("b"), F.sum("n").alias("n")).first()
+    if edge["a"] is None:
+        return counts.withColumn("share", F.lit(None).cast("double"))
     if fill:
-        span = counts.agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("value"))
+        span = df.sparkSession.range(edge["a"], edge["b"] + 1).select(F.col("id").alias("value"))
         counts = span.join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
-    running = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)  # over the small table of counts
-    return counts.withColumn("share", F.sum("n").over(running) / F.sum("n").over(Window.partitionBy()))
+    width = edge["b"] - edge["a"] + 1
+    place = F.floor((F.col("value") - edge["a"]) / F.lit(width) * F.lit(bucket_count(width)))
+    summed = running(counts.withColumn("__one", F.lit(0)), ["__one"], place, ["value"], "n", "__sum")
+    return summed.select("value", "n", (F.col("__sum") / F.lit(edge["n"])).alias("share"))
 
 
 def pivot_best(df: DataFrame, row: str, column: str, columns: list, value: str, how: str = "max") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import close
 
@@ -82,28 +83,85 @@ def similar_names(queries: DataFrame, names: DataFrame, query: str, name: str, t
     return out.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by bits of one whole number."""
+    places: dict[str, int] = {}
+    for k, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << k
+    state = full = (1 << len(a)) - 1
+    for ch in b:
+        hit = state & places.get(ch, 0)
+        state = (state + hit) | (state - hit)
+    return len(a) - (state & full).bit_count()
+
+
+def _share(a: str, b: str) -> float:
+    size = len(a) + len(b)
+    return 200 * _common(a, b) / size if size else 100.0
+
+
+def _partial(a: str, b: str) -> float:
+    """The best share of the shorter text with a stretch of the longer one, cut off at its ends or of the shorter's length."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 0.0 if b else 100.0
+    n, m = len(a), len(b)
+    spans = [(k, k + n) for k in range(m - n + 1)] + [(0, k) for k in range(1, n)] + [(m - k, m) for k in range(1, n)]
+    best = max(_share(a, b[i:j]) for i, j in spans)
+    if n == m and best < 100:
+        best = max(best, *(_share(b, a[i:j]) for i, j in spans))
+    return best
+
+
+def _by_tokens(a: str, b: str) -> float:
+    """Agreement of the words: sorted, or those that differ beside those that are shared."""
+    x, y = sorted(a.split()), sorted(b.split())
+    if not x or not y:
+        return 0.0
+    ordered = _share(" ".join(x), " ".join(y))
+    shared, p, q = " ".join(sorted({*x} & {*y})), " ".join(sorted({*x} - {*y})), " ".join(sorted({*y} - {*x}))
+    if shared and not (p and q):
+        return 100.0
+    gap = 1 if shared else 0
+    left, right = len(shared) + gap + len(p), len(shared) + gap + len(q)
+    best = 100 - 100 * (len(p) + len(q) - 2 * _common(p, q)) / (left + right)
+    if shared:
+        best = max(best, 200 * len(shared) / (len(shared) + left), 200 * len(shared) / (len(shared) + right))
+    return max(ordered, best)
+
+
+def _partial_by_tokens(a: str, b: str) -> float:
+    x, y = a.split(), b.split()
+    if {*x} & {*y}:
+        return 100.0
+    best = _partial(" ".join(sorted(x)), " ".join(sorted(y)))
+    if len({*x}) < len(x) or len({*y}) < len(y):
+        best = max(best, _partial(" ".join(sorted({*x})), " ".join(sorted({*y}))))
+    return best
+
+
+def weighted_agreement(a: str | None, b: str | None) -> float:
+    """The weighted ratio of two texts, 0 to 100 (the published rule of fuzzy matchers: shares of the longest common
+    subsequence of the whole texts, of their words and, where lengths differ by half or more, of parts)."""
+    if not a or not b:
+        return 0.0
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    best = _share(a, b)
+    if longer < 1.5:
+        return max(best, 0.95 * _by_tokens(a, b))
+    scale = 0.9 if longer <= 8 else 0.6
+    return max(best, scale * _partial(a, b), 0.95 * scale * _partial_by_tokens(a, b))
+
+
+@F.pandas_udf(T.DoubleType())
+def weighted_ratio_udf(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([round(weighted_agreement(a, b), 6) for a, b in zip(x, y, strict=True)], dtype=float)
+
+
 def weighted_ratio(a: Column, b: Column) -> Column:
-    """A 0–100 score: the best of whole, sorted-word and partial agreement (standard library, by Arrow batches)."""
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        def of(s, t):
-            if not s or not t:
-                return 0.0
-            s, t = s.lower(), t.lower()
-            plain = SequenceMatcher(None, s, t).ratio()
-            words = SequenceMatcher(None, " ".join(sorted(s.split())), " ".join(sorted(t.split()))).ratio() * 0.95
-            short, long = sorted((s, t), key=len)
-            part = 0.0
-            if len(long) > 1.5 * len(short):
-                part = max((SequenceMatcher(None, short, long[k : k + len(short)]).ratio() for k in range(len(long) - len(short) + 1)), default=0) * 0.9
-            return round(100 * max(plain, words, part), 6)
-
-        return pd.Series([of(s, t) for s, t in zip(x, y, strict=True)])
-
-    return ratio(a, b)
+    """:func:`weighted_agreement` by Arrow batches."""
+    return weighted_ratio_udf(a, b)
 
 
 def first_close_column(df: DataFrame, value: str, columns: list[str]) -> Column:

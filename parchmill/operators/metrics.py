@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .joins import grid, small
 from .running import running, spread
 
@@ -93,7 +94,7 @@ def pr_curve(df: DataFrame, score: str, truth: Column, by: list[str]) -> DataFra
     Rows fold by score before the running sums, which pass over distinct scores only.
     """
     steps = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(truth).alias("p"), F.count_if(~F.coalesce(truth, F.lit(False))).alias("n"))
-    steps = steps.withColumn("__one", F.lit(0))
+    steps = cut(steps.withColumn("__one", F.lit(0)), "steps")
     place, groups = spread(steps, "score", descending=True), [*by, "__one"]
     sums = running(running(steps, groups, place, [F.desc("score")], "p", "tp"), groups, place, [F.desc("score")], "n", "fp")
     whole = steps.groupBy(*groups).agg(F.sum("p").alias("__all"))
@@ -124,9 +125,9 @@ def pareto(df: DataFrame, cost: str, quality: str, by: list[str] | None = None)
     Rows fold to the best of each cost before the running maximum.
     """
     by = by or []
-    best = df.filter(F.col(cost).isNotNull() & F.col(quality).isNotNull()).groupBy(*by, cost).agg(F.max(quality).alias(quality)).withColumn("__one", F.lit(0))
+    best = cut(df.filter(F.col(cost).isNotNull() & F.col(quality).isNotNull()).groupBy(*by, cost).agg(F.max(quality).alias(quality)).withColumn("__one", F.lit(0)), "best")
     ran = running(best, [*by, "__one"], spread(best, cost), [cost], quality, "__b", "max", inclusive=False)
-    front = ran.filter(F.col("__b").isNull() | (F.col(quality) > F.col("__b"))).drop("__b", "__one")
+    front = cut(ran.filter(F.col("__b").isNull() | (F.col(quality) > F.col("__b"))).drop("__b", "__one"), "front")
     return df.join(small(front), [*by, cost, quality], "left_semi")
 
 
@@ -187,6 +188,23 @@ def quality_and_cost(best: DataFrame, cost: str = "ms") -> DataFrame:
     return best.filter(F.col(cost) > 0)
 
 
+def head_to_head(values: DataFrame, models: list[str], a: str, b: str, label: str = "label", model: str = "model", value: str = "value") -> DataFrame:
+    """(label, models…, lead, winner): one column per model, the lead of ``a`` over ``b``, and which of them is ahead."""
+    from .aggregates import pivot_best
+
+    wide = pivot_best(values, label, model, models, value)
+    return wide.withColumn("lead", F.col(a) - F.col(b)).withColumn("winner", F.when(F.col(a) > F.col(b), a).when(F.col(a) < F.col(b), b).otherwise("even"))
+
+
+def approach_means(values: DataFrame, groups: dict[str, str], otherwise: str, model: str = "model", value: str = "value") -> DataFrame:
+    """(group, model, mean, labels): mean over the labels with a value, groups in order, the best model of each first."""
+    group = F.lit(otherwise)
+    for name, of in groups.items():
+        group = F.when(F.col(model) == name, F.lit(of)).otherwise(group)
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    return values.groupBy(group.alias("group"), model).agg(F.avg(known).alias("mean"), F.count(known).alias("labels")).orderBy("group", F.desc_nulls_last("mean"), model)
+
+
 def agreement(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(property, tp, fp, fn, tn, precision, recall, support) of truth and prediction columns; null rates on a zero denominator."""
     parts = F.explode(F.array(*[F.struct(F.lit(t).alias("property"), F.col(t).alias("t"), F.col(s).alias("s")) for t, s in pairs]))

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 ROWS_PER_BUCKET = 20_000
+#: Coarse edges of an order: quantiles of the data.
+QUANTILES = 200
 
 
 def bucket_count(rows: int) -> int:
@@ -37,25 +41,34 @@ def running(df: DataFrame, groups: list[str], bucket: Column, order: list, value
 
 
 def spread(df: DataFrame, column: str, descending: bool = False) -> Column:
-    """A bucket expression for the order of a number: equal steps over its range (one small aggregate)."""
-    edge = df.agg(F.min(column).cast("double").alias("a"), F.max(column).cast("double").alias("b"), F.count("*").alias("n")).first()
-    low, high, parts = edge["a"] or 0.0, edge["b"] or 0.0, bucket_count(edge["n"])
-    width = (high - low) or 1.0
+    """A bucket expression for the order of a number, by one small aggregate.
+
+    Quantiles of the data are the coarse edges, so that a heavy tail fills no bucket alone; between two of them steps
+    are equal.
+    """
     x = F.col(column).cast("double")
-    step = (F.lit(high) - x) if descending else (x - F.lit(low))
-    return F.least(F.floor(step / F.lit(width) * parts), F.lit(parts - 1))
+    known = df.filter(x.isNotNull() & ~F.isnan(x))
+    n, edges = known.agg(F.count("*"), F.percentile_approx(x, [k / QUANTILES for k in range(QUANTILES + 1)], 10 * QUANTILES)).first()
+    edges = sorted(set(edges or [0.0]))
+    fine = max(1, -(-bucket_count(n) // len(edges)))
+    at, table = F.greatest(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= x)), F.lit(1)), F.array(*map(F.lit, [*edges, edges[-1]]))
+    low, high = F.element_at(table, at), F.element_at(table, at + 1)
+    step = F.least(F.floor(F.coalesce((x - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)) * fine), F.lit(fine - 1))
+    place = F.greatest(at * fine + F.greatest(step, F.lit(0)), F.lit(0))
+    return -place if descending else place
 
 
-def rows_at(df: DataFrame, group: str, value: str, key: str, places: Column, bins: int = 1_000) -> DataFrame:
+def rows_at(df: DataFrame, group: str, value: str, key: str, places: Column) -> DataFrame:
     """The rows at some places (from 0) of each group's order by value and key.
 
-    ``places`` is an array column made from ``n``, the group's number of rows. Each group's range is cut into bins;
-    only the rows of bins that hold a wanted place are ranked.
+    ``places`` is an array column made from ``n``, the group's number of rows. Each group is cut into bins at its own
+    quantiles; only the rows of bins that hold a wanted place are ranked.
     """
     x = F.col(value).cast("double")
-    edges = df.groupBy(group).agg(F.min(x).alias("__a"), F.max(x).alias("__b"), F.count("*").alias("n")).withColumn("__places", places)
+    edges = df.groupBy(group).agg(F.percentile_approx(x, [k / QUANTILES for k in range(QUANTILES + 1)], 10 * QUANTILES).alias("__e"), F.count("*").alias("n")).withColumn("__places", places)
+    edges = cut(edges, "edges")
     placed = df.join(F.broadcast(edges) if edges.limit(10_001).count() <= 10_000 else edges, group)
-    placed = placed.withColumn("__bin", F.coalesce(F.least(F.floor((x - F.col("__a")) / F.nullif(F.col("__b") - F.col("__a"), F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0)))
+    placed = placed.withColumn("__bin", F.size(F.filter(F.array_distinct("__e"), lambda e: e <= x)))
     counts = placed.groupBy(group, "__bin").agg(F.count("*").alias("__c"))
     first = F.coalesce(F.sum("__c").over(Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("__first", first).join(edges.select(group, "__places"), group)

@@ -33,12 +33,17 @@ def systematic_sample(df: DataFrame, value: str, key: str, per: int = 8, bucket_
     return rows_at(placed, "bucket", value, key, F.when(F.col("n") <= per, all_).otherwise(even))
 
 
+def hashed(key: str, seed: int) -> Column:
+    """A hash of a key and a seed that every engine has: the SHA-256 of ``key:seed`` in hexadecimal."""
+    return F.sha2(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")), 256)
+
+
 def bucket_sample(df: DataFrame, value: str, key: str, per: int = 5, width: float = 0.1, seed: int = 42) -> DataFrame:
     """Up to ``per`` rows of each bucket of the data's own range, by a hash of the key; a value on the top edge is in no bucket."""
     step = F.floor(F.col(value) / F.lit(width) + F.lit(1e-9)).cast("int")
     end = df.agg(F.ceil(F.max(value) / F.lit(width) - F.lit(1e-9)).cast("int").alias("b")).first()["b"]
     placed = df.withColumn("bucket", step).filter(F.col("bucket") < F.lit(end))
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64(key, F.lit(seed)), key)
+    order = Window.partitionBy("bucket").orderBy(hashed(key, seed), key)
     return placed.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per).drop("__n")
 
 
@@ -65,12 +70,12 @@ def holdout(df: DataFrame, order: list[str], test: float = 0.5, seed: int = 42)
 
 def hash_split(df: DataFrame, key: str, test: float = 0.5, seed: int = 42) -> DataFrame:
     """``df`` with ``is_test`` by a hash of the key: no shuffle, the same at any size."""
-    return df.withColumn("is_test", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(test * 1_000_000)))
+    return df.withColumn("is_test", F.conv(F.left(hashed(key, seed), F.lit(8)), 16, 10).cast("long") < F.lit(test * (1 << 32)))
 
 
 def shuffled_head(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows in a seeded order by hash (a top-n, never a full sort)."""
-    return df.withColumn("__h", F.xxhash64(key, F.lit(seed))).orderBy("__h", key).limit(n).drop("__h")
+    return df.withColumn("__h", hashed(key, seed)).orderBy("__h", key).limit(n).drop("__h")
 
 
 def first_n(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:

@@ -1,13 +1,15 @@
-"""A keyed store of filings with versioned results, as parquet snapshots.
+"""A keyed store of filings with versioned results, as parquet in hash buckets.
 
-Parquet has no MERGE, so a change is a plan (old full outer join new, one merge rule per column) whose result becomes
-the next snapshot; a small marker file names the current one. Readers of an older snapshot are never disturbed, and a
-lost executor or driver leaves the old snapshot current. Changes of one batch fold by key before the join.
+Parquet has no MERGE, so a change is a plan (old full outer join new, one merge rule per column) over the buckets that
+the changed keys fall in; the other buckets stay as they are. A manifest names the folder of every bucket and becomes
+current by one rename. Readers of an older state are not disturbed while it is kept, and a lost executor or driver
+leaves the old state current. Changes of one batch fold by key before the join.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import property_type
+from ..session import cut
 from ..schemas import CLASSIFICATIONS_KEY, FILINGS, PREPROCESSING
 
 #: Merge rules: what a column is when a row exists and a new one comes.
@@ -103,6 +106,13 @@ def append_keywords(df: DataFrame, added: DataFrame, key: str = "id", column: st
     return df.join(news, key, "left").withColumn(column, F.when(F.col("__news").isNull(), F.col(column)).otherwise(F.concat(have, F.array_except("__news", have)))).drop("__news").select(df.columns)
 
 
+def ingest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, items): the rows of each key as one record, in order. A key's rows must fit in a row: versions of one filing."""
+    rest = [c for c in rows.columns if c != key and c not in ("file", "path", "modified_at")]
+    item = F.struct(*order, *[c for c in rest if c not in order])
+    return rows.dropna(subset=[key]).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
 def evolve(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``df`` with the missing ones of these property columns, null for its rows."""
     return df.withColumns({c: F.lit(None).cast(property_type(k)) for c, k in columns.items() if c not in df.columns})
@@ -125,6 +135,8 @@ class Store:
     spark: SparkSession
     root: str
     properties: dict[str, str]
+    buckets: int = 16
+    keep: int = 3
 
     SCHEMAS = {"filings": FILINGS, "preprocessing": PREPROCESSING}
     KEYS = {"filings": ["id"], "preprocessing": ["filing_id", "preprocessing_version"], "classifications": ["filing_id", "experiment_version"]}
@@ -133,57 +145,102 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(str(p)).first()[0])["snapshot"]
+    def _manifests(self, name: str) -> list[int]:
+        fs, p = self._fs(f"{self.root}/{name}")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
+    def _manifest(self, name: str, n: int) -> dict[str, str]:
+        """Bucket -> the folder that holds its rows."""
+        return json.loads(self.spark.read.text(f"{self.root}/{name}/manifest-{n:09d}.json", wholetext=True).first()[0])
 
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
+        return bool(self._manifests(name))
 
     def schema(self, name: str) -> T.StructType:
         if name in self.SCHEMAS:
             return self.SCHEMAS[name]
         return T.StructType([*CLASSIFICATIONS_KEY.fields, *(T.StructField(c, property_type(k)) for c, k in self.properties.items()), T.StructField("classified_at", T.TimestampType())])
 
-    def read(self, name: str) -> DataFrame:
-        """The current snapshot; an empty table of its schema before the first one."""
-        at = self._current(name)
-        if at is None:
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The current rows, or those of some buckets; an empty table of its schema before the first change."""
+        have = self._manifests(name)
+        at = self._manifest(name, have[-1]) if have else {}
+        paths = sorted({at[b] for b in at if buckets is None or int(b) in buckets})
+        if not paths:
             return self.spark.createDataFrame([], self.schema(name))
-        return self.spark.read.parquet(at)
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the next snapshot, then point to it."""
-        at = self._current(name)
-        n = int(at.rsplit("-", 1)[1]) + 1 if at else 0
-        path = f"{self.root}/{name}/snapshot-{n:09d}"
-        df.write.mode("overwrite").parquet(path)
-        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
-        out = fs.create(p, True)
-        out.write(bytearray(json.dumps({"snapshot": path}).encode()))
+        return self.spark.read.option("mergeSchema", True).parquet(*paths)
+
+    def touched(self, name: str, keys: DataFrame) -> list[int]:
+        """The buckets of some keys: at most ``buckets`` numbers."""
+        key = self.KEYS[name][0]
+        return sorted(r[0] for r in keys.filter(F.col(key).isNotNull()).select(self._bucket(key)).distinct().collect())
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def write(self, name: str, df: DataFrame, buckets: list[int] | None = None) -> DataFrame:
+        """``df`` as the rows of the table, or of some of its buckets; the others stay where they are.
+
+        Rows are written first; then a manifest is written aside and renamed, so readers see the old state or the new.
+        A manifest that is there already means that someone else wrote meanwhile, which raises. Of folders and
+        manifests the last ``keep`` states stay.
+        """
+        have = self._manifests(name)
+        n = have[-1] + 1 if have else 0
+        path = f"{self.root}/{name}/data-{n:09d}-{uuid.uuid4().hex[:8]}"
+        placed = df.select("*", self._bucket(self.KEYS[name][0]).alias("__bucket"))
+        placed.repartition("__bucket").write.partitionBy("__bucket").parquet(path)
+        fs, p = self._fs(path)
+        new = {str(k): f"{path}/__bucket={k}" for k in (int(f.getPath().getName()[9:]) for f in fs.listStatus(p) if f.getPath().getName().startswith("__bucket="))}
+        old = self._manifest(name, have[-1]) if have and buckets is not None else {}
+        kept = {b: q for b, q in old.items() if buckets is None or int(b) not in buckets}
+        _, aside = self._fs(f"{self.root}/{name}/.manifest-{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps(kept | new).encode()))
         out.close()
+        _, target = self._fs(f"{self.root}/{name}/manifest-{n:09d}.json")
+        if fs.exists(target) or not fs.rename(aside, target):
+            raise RuntimeError(f"{name} was changed by someone else")
+        self._forget(name)
         return self.read(name)
 
+    def _forget(self, name: str) -> None:
+        have = self._manifests(name)
+        live = {q.rsplit("/", 1)[0].rsplit("/", 1)[-1] for n in have[-self.keep :] for q in self._manifest(name, n).values()}
+        fs, p = self._fs(f"{self.root}/{name}")
+        for f in fs.listStatus(p):
+            at = f.getPath().getName()
+            if at.startswith("data-") and at not in live and int(at.split("-")[1]) <= have[-1] or at.startswith("manifest-") and int(at[9:-5]) in have[: -self.keep]:
+                fs.delete(f.getPath(), True)
+
+    def _upsert(self, name: str, new: DataFrame, rules: dict[str, str], order: str | None = None, now: Column | None = None) -> DataFrame:
+        """Only the buckets that the new rows fall in are read, merged and written."""
+        new = cut(new, "change")
+        buckets = self.touched(name, new)
+        old = self.read(name, buckets)
+        return self.write(name, upsert(old, new, self.KEYS[name], rules, order, now), buckets)
+
     def upsert_filings(self, new: DataFrame, order: str | None = None) -> DataFrame:
-        return self.write("filings", upsert(self.read("filings"), new, ["id"], FILING_RULES, order, F.current_timestamp()))
+        return self._upsert("filings", new, FILING_RULES, order, F.current_timestamp())
 
     def upsert_preprocessing(self, new: DataFrame, order: str | None = None) -> DataFrame:
         """Versioned results; the main table's relevance and path take the newest values, null paths as well."""
         rules = {"project_relevant": REPLACE, "path_to_preprocessed": REPLACE}
-        self.write("preprocessing", upsert(self.read("preprocessing"), new, self.KEYS["preprocessing"], rules, order))
+        self._upsert("preprocessing", new, rules, order)
         main = latest(new, ["filing_id"], [F.col(order).desc_nulls_last()] if order else [F.col("preprocessing_version").desc_nulls_last()])
         main = main.select(F.col("filing_id").alias("id"), "project_relevant", "path_to_preprocessed")
-        return self.write("filings", upsert(self.read("filings"), main, ["id"], {**FILING_RULES, **rules}))
+        return self._upsert("filings", main, {**FILING_RULES, **rules})
 
     def upsert_classifications(self, new: DataFrame, allowed: list[str] | None = None, order: str | None = None) -> DataFrame:
         """Versioned results; only given columns change, columns outside ``allowed`` are ignored, new ones are added."""
         keep = [c for c in new.columns if c in self.KEYS["classifications"] or c == order or allowed is None or c in allowed]
-        return self.write("classifications", upsert(self.read("classifications"), new.select(keep), self.KEYS["classifications"], {}, order))
+        return self._upsert("classifications", new.select(keep), {}, order)
 
     def add_keywords(self, added: DataFrame) -> DataFrame:
-        return self.write("filings", append_keywords(self.read("filings"), added))
+        added = cut(added, "change")
+        buckets = self.touched("filings", added)
+        return self.write("filings", append_keywords(self.read("filings", buckets), added), buckets)
 
     def blacklist(self, ids: DataFrame) -> DataFrame:
         return self.upsert_filings(ids.select("id").withColumn("blacklisted", F.lit(True)))
@@ -192,7 +249,8 @@ class Store:
         """Delete filings with their versioned results: the children first, so that none is ever orphaned."""
         for name, column in (("classifications", "filing_id"), ("preprocessing", "filing_id"), ("filings", "id")):
             if self.exists(name):
-                self.write(name, delete_keys({name: (self.read(name), column)}, ids)[name])
+                buckets = self.touched(name, ids.select(F.col("id").alias(self.KEYS[name][0])))
+                self.write(name, delete_keys({name: (self.read(name, buckets), column)}, ids)[name], buckets)
 
     def versions(self, filing_id: str) -> DataFrame:
         return self.read("classifications").filter(F.col("filing_id") == filing_id)

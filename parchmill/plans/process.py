@@ -66,16 +66,18 @@ def extract(records: DataFrame, config: ProcessConfig, key: str = "id", text: st
 def score(found: DataFrame, config: ProcessConfig, make: Callable = vectors.HashingEmbedder, text: str = "context", into: str = "similarity_score") -> DataFrame:
     """Windows with their cosine to the reference text, rounded to 4 digits; each distinct text is embedded once."""
     reference = np.asarray(make()([config.reference])[0], float).tolist()
-    distinct = found.select(text).distinct().withColumn("__v", vectors.embed(text, make)).withColumn(into, F.round(vectors.cosine("__v", reference), 4)).drop("__v")
-    return found.join(distinct, text, "left")
+    keyed = found.withColumn("__d", F.md5(F.col(text).cast("binary")))  # texts are told apart by digest, so that few are shuffled
+    distinct = keyed.groupBy("__d").agg(F.first(text).alias("__t")).withColumn("__v", vectors.embed("__t", make))
+    scored = distinct.select("__d", vectors.round_exactly(vectors.cosine("__v", reference), 4).alias(into))
+    return keyed.join(scored, "__d", "left").drop("__d")
 
 
-def process(records: DataFrame, config: ProcessConfig, keywords: DataFrame | None = None, key: str = "id", text: str = "core_text", make: Callable = vectors.HashingEmbedder) -> DataFrame:
-    """(key, window columns, similarity_score, in_scope, decision) of all windows of the records.
+def run(records: DataFrame, config: ProcessConfig, keywords: DataFrame | None = None, key: str = "id", text: str = "core_text", make: Callable = vectors.HashingEmbedder) -> tuple[DataFrame, DataFrame]:
+    """(key, window columns, similarity_score, in_scope, decision) of all windows, and (key, excluded_count) of excluded records.
 
     ``keywords`` has (key, keywords); filings out of the threshold's scope are accepted and never embedded.
     """
-    found, _ = extract(clean(records, config, key, text), config, key, text)
+    found, excluded = extract(clean(records, config, key, text), config, key, text)
     if keywords is None:
         scoped = found.withColumn("in_scope", F.lit(config.scope.keywords is None))
     else:
@@ -84,7 +86,12 @@ def process(records: DataFrame, config: ProcessConfig, keywords: DataFrame | Non
     scored = score(scoped.filter("in_scope"), config, make)
     free = scoped.filter("NOT in_scope").withColumn("similarity_score", F.lit(None).cast("double"))
     both = scored.unionByName(free)
-    return both.withColumn("decision", filters.decision("similarity_score", config.threshold, F.col("in_scope")))
+    return both.withColumn("decision", filters.decision("similarity_score", config.threshold, F.col("in_scope"))), excluded
+
+
+def process(records: DataFrame, config: ProcessConfig, keywords: DataFrame | None = None, key: str = "id", text: str = "core_text", make: Callable = vectors.HashingEmbedder) -> DataFrame:
+    """The windows of :func:`run` alone."""
+    return run(records, config, keywords, key, text, make)[0]
 
 
 def nested(decided: DataFrame, key: str = "id") -> DataFrame:
@@ -123,6 +130,12 @@ def export(main: DataFrame, results: DataFrame | None, version: str, only_releva
     return writers.csv_ready(joins.atoms(joined, "ticker"))
 
 
+def export_selected(main: DataFrame, path: str, results: DataFrame | None = None, version: str = "", relevant: bool = False, keyword: str | None = None, strict: bool = False) -> None:
+    """The export as CSV of filings chosen by relevance and by a keyword (``strict``: their only one)."""
+    rows = main if keyword is None else main.filter(filters.has_keyword("keywords", keyword, strict))
+    writers.write_csv(export(rows, results, version, relevant), path)
+
+
 def score_grid(contexts: DataFrame, references: dict[str, str], makes: dict[str, Callable], text: str = "context") -> DataFrame:
     """Every context's score by every embedder and reference text: each text is embedded once per embedder."""
     out = None

@@ -43,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="parchmill-")
     spark.conf.set("spark.checkpoint.dir", made)
+    _written.insert(0, (spark, made))
     return made
 
 
@@ -74,6 +75,13 @@ def cut(df: DataFrame, name: str = "cut", by: list[str] | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, deleted when Python ends."""
+    path = f"{shared_dir(spark)}/parchmill-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 from collections.abc import Callable, Iterator
 from urllib.request import urlopen
@@ -33,7 +34,10 @@ def fetch(url: str, opener: Callable = urlopen, wait: float = 5.0) -> dict:
 
 
 class SearchSource(DataSource):
-    """Options: ``url`` (with the query), ``total``, ``limit`` (default -1)."""
+    """Options: ``url`` (with the query), ``limit`` (default -1), ``total`` (default: what the first page says), ``stop``.
+
+    ``stop`` names a file in a shared folder; once it is there, pages that haven't been fetched yet are left out.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -51,10 +55,15 @@ class SearchReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in page_ranges(int(self.options["total"]), int(self.options.get("limit", -1)))]
+        total = self.options.get("total")
+        if total is None:
+            total = fetch(self.options["url"]).get("hits", {}).get("total", {}).get("value", 0)
+        return [InputPartition(p) for p in page_ranges(int(total), int(self.options.get("limit", -1)))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         page, rows = partition.value
+        if "stop" in self.options and os.path.exists(self.options["stop"]):
+            return
         url = self.options["url"] + (f"&from={(page - 1) * PAGE}" if page > 1 else "")
         hits = fetch(url).get("hits", {}).get("hits", [])[:rows]
         for k, hit in enumerate(hits):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,13 +51,14 @@ def search_pages(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, SEARCH_PAGE)
 
 
-def raw_records(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, RAW_RECORD)
+def raw_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Raw records of JSON files; ``lines`` reads one record per line, as the writers here write them."""
+    return read_json(spark, path, RAW_RECORD, not lines)
 
 
-def processed_windows(spark: SparkSession, path: str) -> DataFrame:
+def processed_windows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per context window of processed records; records without windows give none."""
-    rows = read_json(spark, path, PROCESSED_RECORD)
+    rows = read_json(spark, path, PROCESSED_RECORD, not lines)
     first = F.col("metadata.filing.display_names")[0]
     return rows.select("file", "metadata.filing.id", strings.company(first).alias("company"), strings.first_ticker(first).alias("ticker"), "url", F.posexplode("context").alias("position", "w")).select("file", "id", "company", "ticker", "url", "position", "w.*")
 
@@ -73,23 +74,30 @@ def ticker_dimension(spark: SparkSession, path: str) -> DataFrame:
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, container, text, problem): the text of documents by container type; other types say so in ``problem``.
 
-    PDF pages are joined by line ends; without the optional reader their text is null.
+    PDF pages are joined by line ends; without the optional reader ``problem`` says so.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind = strings.extension("path")
 
-    @F.udf("string")
-    def pdf(content):
-        try:
-            import io
+    @F.pandas_udf("text string, problem string")
+    def pdf(contents: pd.Series) -> pd.DataFrame:
+        import io
 
+        try:
             from pypdf import PdfReader
         except ImportError:
-            return None
-        return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
+            return pd.DataFrame({"text": [None] * len(contents), "problem": ["no PDF reader"] * len(contents)})
+
+        def of(content):
+            try:
+                return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages), None
+            except Exception as problem:  # noqa: BLE001 - a broken file is a row, not a failed job
+                return None, f"unreadable: {type(problem).__name__}"
+
+        return pd.DataFrame([of(c) for c in contents], columns=["text", "problem"])
 
     texts = files.filter(kind.isin([k for k, v in CONTAINERS.items() if v == "text"])).select("path", kind.alias("container"), F.decode("content", "UTF-8").alias("text"), F.lit(None).cast("string").alias("problem"))
-    pdfs = files.filter(kind == "pdf").select("path", kind.alias("container"), pdf("content").alias("text"), F.lit(None).cast("string").alias("problem"))
+    pdfs = files.filter(kind == "pdf").select("path", kind.alias("container"), pdf("content").alias("p")).select("path", "container", "p.text", "p.problem")
     other = files.filter(~kind.isin(list(CONTAINERS))).select("path", kind.alias("container"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("unknown container type "), kind).alias("problem"))
     return texts.unionByName(pdfs).unionByName(other)
 
@@ -179,8 +187,3 @@ def reference_grid(spark: SparkSession, models: dict[str, str], references: dict
     m = spark.createDataFrame(list(models.items()), "model_id string, model string")
     r = spark.createDataFrame(list(references.items()), "reference_id string, reference_text string")
     return m.crossJoin(F.broadcast(r))
-
-
-def file_name_parts(pattern: str, name: str) -> tuple[str, ...] | None:
-    m = re.match(pattern, name)
-    return m.groups() if m else None

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import strings
 
+#: A selection of more files than this is a table, not a folder of copies.
+COPY_FILES = 10_000
+
 
 def _mode(force: bool) -> str:
     return "overwrite" if force else "errorifexists"
@@ -71,12 +76,48 @@ def formatted(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def markdown(df: DataFrame, most: int = 1_000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; more than ``most`` rows raise."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write CSV")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
 
+def write_named(df: DataFrame, folder: str, name: str, form: str = "csv", **options) -> str:
+    """A small result as one file of a given name (CSV with a header, JSON lines or text): written aside, then renamed."""
+    spark = df.sparkSession
+    aside = f"{folder.rstrip('/')}/.{uuid.uuid4().hex}"
+    ready = csv_ready(df) if form == "csv" else df
+    ready.coalesce(1).write.options(**({"header": True, "escape": '"', "emptyValue": ""} if form == "csv" else {}) | options).format(form).save(aside)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(path(aside)) if f.getPath().getName().startswith("part-"))
+    target = path(f"{folder.rstrip('/')}/{name}")
+    fs.delete(target, False)
+    fs.rename(part, target)
+    fs.delete(path(aside), True)
+    return str(target)
+
+
+def copy_files(paths: DataFrame, folder: str) -> int:
+    """Copy the files that ``paths`` (path) names into a folder, by tasks; the number of files. Names must differ."""
+    files = paths.select("path").distinct()
+    spark = files.sparkSession
+    found = [r["path"] for r in files.limit(COPY_FILES + 1).collect()]
+    if len(found) > COPY_FILES:
+        raise ValueError(f"more than {COPY_FILES} files: write the selected rows as a table")
+    path, util = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = path(folder)
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target)
+    for one in found:
+        source = path(one)
+        util.copy(source.getFileSystem(conf), source, fs, path(target, source.getName()), False, True, conf)
+    return len(found)
+
+
 def context_ids(df: DataFrame, windows: str = "context") -> DataFrame:
     """One row per window of a record with its stable id ``stem__r{i}__c{j}``; ``df`` has (file, record_no, windows)."""
     rows = df.select("*", F.posexplode(windows).alias("__j", "window")).drop(windows)

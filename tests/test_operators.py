@@ -107,8 +107,13 @@ def test_joins(spark):
     values = spark.createDataFrame([(61.0, 5.0, 61.000001), (7.0, None, 1.0)], "v double, p double, q double")
     assert [r[0] for r in values.select(joins.first_close_column(values, "v", ["p", "q"])).collect()] == ["q", None]
     names = spark.createDataFrame([("Acme Corp",), ("Apex",)], "n string")
-    best = joins.similar_names(spark.createDataFrame([("corp acme",)], "q string"), names, "q", "n", 1, joins.weighted_ratio).first()
-    assert best["name"] == "Acme Corp" and best["score"] >= 90
+    best = joins.similar_names(spark.createDataFrame([("Corp Acme",)], "q string"), names, "q", "n", 1, joins.weighted_ratio).first()
+    assert best["name"] == "Acme Corp" and best["score"] == 95
+    # published values of the weighted ratio and its parts
+    assert round(joins._share("this is a test", "this is a test!"), 2) == 96.55 and joins._partial("this is a test", "this is a test!") == 100
+    assert joins._by_tokens("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 100 and joins._by_tokens("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100
+    assert joins.weighted_agreement("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 95 and joins.weighted_agreement("", "a") == joins.weighted_agreement(None, "a") == 0
+    assert joins.weighted_agreement("abc", "abcabcabcabc") == 90 and joins.weighted_agreement("abc", "abc" * 9) == 60
     assert rows(joins.grid(a.limit(1), [0.1, 0.2]).select("threshold")) == [(0.1,), (0.2,)]
     assert rows(joins.match_counts(a.dropna().distinct(), b, "k")) == [(0, 2, 2)]
 
@@ -153,7 +158,7 @@ def test_rows_at_places(spark):
     rng = random.Random(3)
     data = [(rng.choice("ab"), rng.choice([rng.random(), 0.5]), k) for k in range(400)]
     df = spark.createDataFrame(data, "g string, v double, k int")
-    got = rows(running.rows_at(df, "g", "v", "k", F.array(F.lit(0), F.lit(7), F.col("n") - 1), bins=13))
+    got = rows(running.rows_at(df, "g", "v", "k", F.array(F.lit(0), F.lit(7), F.col("n") - 1)))
     want = []
     for g in "ab":
         own = sorted((r for r in data if r[0] == g), key=lambda r: (r[1], r[2]))
