@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import boilerplate, leaks, lookalikes, mixing, neardup, residue, sentences, topn
+from . import boilerplate, leaks, lookalikes, mixing, neardup, oracles, residue, sentences, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,4 +90,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, **oracles.queries()}
