@@ -60,6 +60,20 @@ k AS (SELECT record_id, CAST(line_no AS BIGINT) AS line_no, regexp_replace(trim(
 i AS (SELECT DISTINCT record_id, regexp_replace(trim(c), '^0+(.)', '\\1') AS issuer FROM (SELECT record_id, unnest(metadata.filing.ciks) AS c FROM raw_records) WHERE trim(c) <> ''),
 o AS (SELECT issuer, said, record_id, line_no FROM k JOIN i USING (record_id)), many AS (SELECT issuer, said FROM o GROUP BY ALL HAVING count(DISTINCT record_id) >= 8)
 SELECT DISTINCT record_id, line_no FROM o JOIN many USING (issuer, said)"""
+    level = f"regexp_replace(trim(regexp_replace(lower(line), '{SPACE}+', ' ', 'g')), '\\p{{Nd}}+', '0', 'g')"
+    cleaned = f"""WITH {records}, l AS (SELECT record_id, unnest(range(len(string_split(form, chr(10))))) AS line_no, form FROM forms),
+w AS (SELECT record_id, CAST(line_no AS BIGINT) AS line_no, string_split(form, chr(10))[line_no + 1] AS line FROM l),
+k AS (SELECT record_id, line_no, {level} AS said, length(regexp_replace(line, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS n FROM w),
+q AS (SELECT record_id, line_no, said, n >= 12 AS wide, row_number() OVER (PARTITION BY record_id ORDER BY line_no) AS s FROM k WHERE n > 0),
+a AS (SELECT record_id, list(said ORDER BY s) AS arr FROM q GROUP BY record_id),
+p AS (SELECT q.*, max(CASE WHEN wide THEN s END) OVER (PARTITION BY record_id ORDER BY s) AS before, min(CASE WHEN wide THEN s END) OVER (PARTITION BY record_id ORDER BY s DESC) AS after FROM q),
+asked AS (SELECT record_id, line_no, 'alone' AS kind, said AS block FROM p WHERE wide UNION ALL SELECT record_id, line_no, 'before', array_to_string(arr[before:s], chr(1)) FROM p JOIN a USING (record_id) WHERE NOT wide AND before IS NOT NULL
+  UNION ALL SELECT record_id, line_no, 'after', array_to_string(arr[s:after], chr(1)) FROM p JOIN a USING (record_id) WHERE NOT wide AND after IS NOT NULL),
+i AS (SELECT DISTINCT record_id, regexp_replace(trim(c), '^0+(.)', '\\1') AS issuer FROM (SELECT record_id, unnest(metadata.filing.ciks) AS c FROM raw_records) WHERE trim(c) <> ''),
+o AS (SELECT issuer, kind, block, record_id, line_no FROM asked JOIN i USING (record_id)), many AS (SELECT issuer, kind, block FROM o GROUP BY ALL HAVING count(DISTINCT record_id) >= 8),
+gone AS (SELECT record_id, list(DISTINCT line_no) AS g FROM o JOIN many USING (issuer, kind, block) GROUP BY record_id)
+SELECT r.record_id, CASE WHEN g IS NULL THEN core_text ELSE array_to_string(list_transform(list_filter(range(len(string_split(core_text, chr(10)))), lambda x: NOT list_contains(g, x)), lambda x: string_split(core_text, chr(10))[x + 1]), chr(10)) END AS core_text, CAST(coalesce(len(g), 0) AS BIGINT) AS removed
+FROM raw_records r LEFT JOIN gone USING (record_id)"""
     documents, items = forms("documents", "doc_id", "text"), forms("eval_items", "item_id", "text")
     for name in ("bared", "shown", "lined", "placed", "judged", "said", "forms"):
         items = items.replace(f"\n{name} AS (", f"\ni_{name} AS (").replace(f"FROM {name} ", f"FROM i_{name} ").replace(f"FROM {name})", f"FROM i_{name})")
@@ -70,6 +84,7 @@ dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SE
 hits AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN er USING (run))"""
     return {
         "p4_found": lines,
+        "p4_cleaned": cleaned,
         "p5_found": members + " SELECT a.record_id AS record_id_a, b.record_id AS record_id_b FROM f a JOIN f b ON a.form = b.form AND a.record_id < b.record_id AND a.raw <> b.raw",
         "p5_classes": members + ", c AS (SELECT form, min(record_id) AS class_id, count(DISTINCT raw) AS spellings FROM f GROUP BY form) SELECT record_id, class_id, CAST(spellings AS BIGINT) AS spellings FROM f JOIN c USING (form) WHERE spellings > 1",
         "p6_found": leaks + " SELECT doc_id, item_id FROM hits",
