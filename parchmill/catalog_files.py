@@ -303,3 +303,59 @@ def aliased_fields(spark, d):
     """A field that records keep in one of several places."""
     r = table(spark, d, "raw_records")
     return r.select("record_id", readers.nested_lookup(r, "keyword", "metadata.keyword", "metadata.filing.keyword", "metadata.none.keyword").alias("keyword"))
+
+
+@query("SELECT 'q' || n_nationkey AS query_id, n_name AS keyword, 'form-cat' || (n_regionkey + 1) AS filing_category, '' AS from_date FROM nation")
+def query_config_sink(spark, d):
+    """Search queries saved as files of their own, and read back."""
+    path = scratch(spark, "queries")
+    n = table(spark, d, "nation").select(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("query_id"), F.col("n_name").alias("keyword"), F.concat(F.lit("form-cat"), (F.col("n_regionkey") + 1).cast("string")).alias("filing_category"))
+    writers.write_query_configs(n, path)
+    return readers.search_queries(spark, path).select("query_id", "keyword", "filing_category", "from_date")
+
+
+@query("SELECT s_name || '__r' || s_nationkey || '__c' || k AS context_id, CASE WHEN k = 0 THEN 'first' ELSE 'second' END AS context, CAST(NULL AS INT) AS label FROM supplier, (SELECT unnest(range(2)) AS k)")
+def labelling_sheet(spark, d):
+    """Windows exported for labelling with stable ids, as JSON lines and as a sheet; the sheet is read back."""
+    path = scratch(spark, "labelling")
+    w = table(spark, d, "supplier").select(F.concat("s_name", F.lit(".json")).alias("file"), F.col("s_nationkey").alias("record_no"), F.array(F.struct(F.lit("first").alias("context")), F.struct(F.lit("second").alias("context"))).alias("context"))
+    writers.labelling(w, path)
+    return workbook.read(spark, f"{path}/labels.xlsx", "context_id string, context string, label int")
+
+
+@query("SELECT bucket, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_custkey, CAST(floor(c_acctbal / 1000 + 1e-9) AS INT) AS bucket, row_number() OVER (PARTITION BY CAST(floor(c_acctbal / 1000 + 1e-9) AS INT) ORDER BY c_custkey) AS r FROM customer WHERE CAST(floor(c_acctbal / 1000 + 1e-9) AS INT) < (SELECT ceil(max(c_acctbal) / 1000 - 1e-9) FROM customer)) WHERE r <= 3 GROUP BY bucket")
+def sample_sheet(spark, d):
+    """A sample by buckets kept as a sheet: how many rows of each bucket it has."""
+    from .operators import sampling
+
+    path = scratch(spark, "sample")
+    workbook.write(sampling.bucket_sample(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", 3, 1000.0), f"{path}/sample.xlsx")
+    return workbook.read(spark, f"{path}/sample.xlsx", "bucket int, c_custkey long").groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus AS folder, 2 AS files FROM orders GROUP BY ALL")
+def experiment_folders(spark, d):
+    """The runs of an experiment folder with their numbers of files."""
+    path = scratch(spark, "runs")
+    per = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    for r in per.collect():  # a handful of runs
+        for name in ("scores.csv", "report.csv"):
+            writers.write_named(per.filter(F.col("o_orderstatus") == r[0]), f"{path}/{r[0]}", name)
+    return readers.experiments(spark, path).select("folder", F.col("files").cast("int").alias("files"))
+
+
+@query("SELECT id, CASE WHEN lower(form) = '10-k' THEN 'form-cat1' WHEN form = '8-K' THEN 'form-cat8' ELSE '' END AS code FROM filings")
+def category_codes(spark, d):
+    """Groups of forms by name in any case or by code; all for what is neither."""
+    from .functions import strings
+
+    given = F.when(F.lower("form") == "10-k", "all_anual_quarterly_and_current_reports").when(F.col("form") == "8-K", "form-cat8").otherwise(F.coalesce("form", F.lit("none")))
+    return table(spark, d, "filings").select("id", strings.category_code(given).alias("code"))
+
+
+@query("SELECT id FROM filings WHERE form IN ('10-K', '10-Q')")
+def filings_of_a_category(spark, d):
+    from .operators import filters
+
+    dimension = spark.createDataFrame([("reports", "10-K"), ("reports", "10-Q"), ("current", "8-K")], "category string, form string")
+    return filters.in_category(table(spark, d, "filings").select("id", "form"), dimension, "reports").select("id")

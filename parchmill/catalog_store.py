@@ -182,3 +182,11 @@ def ingested_records(spark, d):
     p.write.json(path)
     rows = readers.read_json(spark, path, p.schema, multi_line=False)
     return store.ingest(rows, "filing_id", ["preprocessing_version"]).select("filing_id", F.size("items").cast("long").alias("versions"))
+
+
+@query("SELECT id, coalesce(len(keywords) > 0, FALSE) AS came FROM filings")
+def keywords_that_came(spark, d):
+    """Whether a keyword came for each filing, also one that it had already."""
+    f = table(spark, d, "filings").select("id", "keywords")
+    given = f.select("id", F.explode("keywords").alias("keyword"))
+    return store.append_keywords(f, given, flag="came").select("id", "came")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import FORM_CATEGORIES
+
 #: Characters that no file name may have.
 UNSAFE = ':*?"<>|/\\'
 
@@ -148,6 +150,13 @@ def plain_keyword(col: Column) -> Column:
     return F.lower(F.btrim(col, F.lit("\"'")))
 
 
+def category_code(col: Column | str) -> Column:
+    """The code of a group of forms, from its name in any case or from the code itself; the code of all for anything else."""
+    by_name = F.create_map(*[F.lit(x) for pair in FORM_CATEGORIES.items() for x in pair])
+    given = F.when(_c(col).isin([v for v in FORM_CATEGORIES.values() if v]), _c(col))
+    return F.coalesce(F.try_element_at(by_name, F.upper(_c(col))), given, F.lit(FORM_CATEGORIES["ALL"]))
+
+
 def stable_id(*cols: Column | str) -> Column:
     """SHA-256 of the columns as JSON, the same for the same values."""
     return F.sha2(F.to_json(F.struct(*[_c(c) for c in cols])), 256)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Scope
 from ..functions.strings import plain_keyword
+from .joins import small
 
 
 def _c(col: Column | str) -> Column:
@@ -98,6 +99,13 @@ def stale_reports(reports: DataFrame, model: str = "model", cls: str = "class")
     return reports.groupBy(model).agg(F.coalesce(F.bool_or(wrong), F.lit(False)).alias("stale"))
 
 
+def in_category(df: DataFrame, dimension: DataFrame, category: str, form: str = "form") -> DataFrame:
+    """Rows whose form a dimension (category, form) puts in a category; the empty category takes all."""
+    if not category:
+        return df
+    return df.join(small(dimension.filter(F.col("category") == category).select(F.col("form").alias("__f")).distinct()), F.col(form) == F.col("__f"), "left_semi")
+
+
 def by_prefix(df: DataFrame, column: str, roles: dict[str, str], into: str = "role") -> DataFrame:
     """Rows whose value starts with one of a few prefixes, with that prefix's role (the first that fits)."""
     role = F.lit(None).cast("string")

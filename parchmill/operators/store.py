@@ -99,11 +99,14 @@ def update_where(df: DataFrame, key: str, value, changes: dict, touch: str | Non
     return df.withColumns(columns)
 
 
-def append_keywords(df: DataFrame, added: DataFrame, key: str = "id", column: str = "keywords", keyword: str = "keyword") -> DataFrame:
-    """``df`` with keywords appended where they are missing, in sorted order; a null array counts as empty."""
+def append_keywords(df: DataFrame, added: DataFrame, key: str = "id", column: str = "keywords", keyword: str = "keyword", flag: str | None = None) -> DataFrame:
+    """``df`` with keywords appended where they are missing, in sorted order; a null array counts as empty.
+
+    ``flag`` names a further column: whether a keyword came for the row, also one that it had.
+    """
     news = added.dropna(subset=[key, keyword]).groupBy(key).agg(F.array_sort(F.collect_set(keyword)).alias("__news"))
     have = F.coalesce(F.col(column), F.array().cast("array<string>"))
-    return df.join(news, key, "left").withColumn(column, F.when(F.col("__news").isNull(), F.col(column)).otherwise(F.concat(have, F.array_except("__news", have)))).drop("__news").select(df.columns)
+    return df.join(news, key, "left").withColumn(column, F.when(F.col("__news").isNull(), F.col(column)).otherwise(F.concat(have, F.array_except("__news", have)))).select(*df.columns, *([F.col("__news").isNotNull().alias(flag)] if flag else []))
 
 
 def ingest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -37,6 +37,21 @@ SEARCH_PAGE = _struct(
 SCORE = _struct(context_id=_s, similarity_score=T.DoubleType(), model=_s, device=_s, reference_text_id=_s, reference_text=_s, embedding_seconds_total=T.DoubleType(), embedding_ms_per_context=T.DoubleType())
 _report = T.MapType(_s, T.MapType(_s, T.MapType(_s, _s)))
 EVALUATION = _struct(class_name=_s, model_name=_s, model_input=_s, kwargs=T.MapType(_s, _s), evaluation_results=_report)
+#: Names of the groups of forms that a search can ask for, and their codes.
+FORM_CATEGORIES = {
+    "CUSTOM": "custom",
+    "ALL_ANUAL_QUARTERLY_AND_CURRENT_REPORTS": "form-cat1",
+    "INSIDER_EQUITY_AWARDS_TRANSACTIONS_AND_OWNERSHIP": "form-cat2",
+    "BENEFICIAL_OWNERSHIP_REPORTS": "form-cat3",
+    "EXEMPT_OFFERINGS": "form-cat4",
+    "REGISTRATION_STATEMENTS_AND_PROSPECTUSES": "form-cat5",
+    "FILING_REVIEW_CORRESPONDENCE": "form-cat6",
+    "SEC_ORDERS_AND_NOTICES": "form-cat7",
+    "PROXY_MATERIALS": "form-cat8",
+    "TENDER_OFFERS_AND_GOING_PRIVATE_TRANSACTIONS": "form-cat9",
+    "TRUST_INDENTURE_FILINGS": "form-cat10",
+    "ALL": "",
+}
 CATEGORY = _struct(
     class_name=_s, name=_s, properties=T.ArrayType(_struct(name=_s, description=_s, type=_s)), prompt_base=_s, csv_path=_s, num_examples=T.IntegerType(),
     examples=T.ArrayType(_struct(text=_s, answer=T.ArrayType(_struct(column_name=_s, value=_s)))),

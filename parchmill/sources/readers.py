@@ -156,6 +156,12 @@ def evaluations(spark: SparkSession, path: str, skip: tuple[str, ...] = ("graphi
     return rows.select("file", "folder", "model_name", "task", "label", "class", F.explode(F.from_json("v2", "map<string,double>") if isinstance(rows.schema["v2"].dataType, T.StringType) else F.col("v2")).alias("metric", "value"))
 
 
+def experiments(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, files, bytes, modified_at): the runs of an experiment folder, by its subfolders; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
+    return files.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified_at"))
+
+
 def nested_lookup(rows: DataFrame, *paths: str) -> Column:
     """The first of several fields that a record has; fields that the schema lacks are passed over."""
 

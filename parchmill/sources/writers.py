@@ -125,6 +125,31 @@ def context_ids(df: DataFrame, windows: str = "context") -> DataFrame:
     return rows.withColumn("context_id", F.format_string("%s__r%d__c%d", stem, "record_no", "__j")).drop("__j")
 
 
+def write_query_configs(df: DataFrame, folder: str) -> int:
+    """Search queries (query_id, settings…) as config files, one per query; the number of files."""
+    settings = [c for c in df.columns if c != "query_id"]
+    rows = df.select("query_id", F.to_json(F.struct(F.create_map("query_id", F.struct(*settings)).alias("queries"))).alias("value"))
+    ids = [r[0] for r in rows.select("query_id").distinct().limit(COPY_FILES + 1).collect()]
+    if len(ids) > COPY_FILES:
+        raise ValueError(f"more than {COPY_FILES} queries")
+    for one in ids:
+        write_named(rows.filter(F.col("query_id") == one).select("value"), folder, f"{one}.json", "text")
+    return len(ids)
+
+
+def labelling(windows: DataFrame, folder: str, most: int = 100_000) -> int:
+    """Windows to be labelled, with stable ids: ``contexts.jsonl`` and a sheet ``labels.xlsx`` with empty labels and notes.
+
+    ``windows`` has (file, record_no, context: array of windows). The number of windows; more than ``most`` raise.
+    """
+    from . import workbook
+
+    rows = context_ids(windows).select("context_id", "file", "window.*")
+    write_named(rows, folder, "contexts.jsonl", "json")
+    sheet = rows.select("context_id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("string").alias("notes"), *[c for c in ("context", "matched_phrase") if c in rows.columns])
+    return workbook.write(sheet, f"{folder.rstrip('/')}/labels.xlsx", most)
+
+
 def count_files(df: DataFrame) -> DataFrame:
     """(files): the number of files that a frame is read from."""
     return df.select(F.col("_metadata.file_path").alias("f")).distinct().agg(F.count("*").alias("files"))

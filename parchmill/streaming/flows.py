@@ -5,6 +5,7 @@ State is bounded: duplicates are dropped within a watermark, and keywords live i
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +84,15 @@ def _start(stream: DataFrame, step, checkpoint: str, once: bool) -> StreamingQue
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def stop_when(query: StreamingQuery, flag: threading.Event, every: float = 0.2) -> bool:
+    """Wait for a stream's end, or stop it between batches once the flag is set; whether it was stopped."""
+    while query.isActive:
+        if flag.wait(every):
+            query.stop()
+            return True
+    return False
+
+
 class Topics:
     """In-process topics: subscribers are called in order; one that fails doesn't stop the others."""
 

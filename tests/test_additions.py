@@ -201,3 +201,22 @@ def test_documents_say_what_they_lack(spark, tmp_path):
         (tmp_path / name).write_text("text")
     got = {r["container"]: (r["text"], r["problem"]) for r in readers.documents(spark, f"file://{tmp_path}").collect()}
     assert got["html"] == ("text", None) and got["zip"][1] == "unknown container type zip" and got["pdf"][0] is None and got["pdf"][1]
+
+
+def test_a_flag_stops_a_stream(spark, tmp_path):
+    from parchmill.streaming import flows
+
+    flag = threading.Event()
+    query = spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/mark").start()
+    flag.set()
+    assert flows.stop_when(query, flag) and not query.isActive
+    assert not flows.stop_when(query, threading.Event())
+
+
+def test_labelling_and_query_configs(spark, tmp_path):
+    w = spark.createDataFrame([("a.json", 0, [("x",), ("y",)])], "file string, record_no int, context array<struct<context:string>>")
+    assert writers.labelling(w, f"file://{tmp_path}/l") == 2
+    assert [json.loads(x)["context_id"] for x in (tmp_path / "l" / "contexts.jsonl").read_text().splitlines()] == ["a__r0__c0", "a__r0__c1"]
+    q = spark.createDataFrame([("q1", "nps", ["10-K"]), ("q2", None, None)], "query_id string, keyword string, filing_categories array<string>")
+    assert writers.write_query_configs(q, f"file://{tmp_path}/q") == 2
+    assert rows(readers.search_queries(spark, f"file://{tmp_path}/q").select("query_id", "keyword", "filing_categories")) == [("q1", "nps", ["10-K"]), ("q2", "", [])]
