@@ -316,11 +316,11 @@ def query_config_sink(spark, d):
 
 @query("SELECT s_name || '__r' || s_nationkey || '__c' || k AS context_id, CASE WHEN k = 0 THEN 'first' ELSE 'second' END AS context, CAST(NULL AS INT) AS label FROM supplier, (SELECT unnest(range(2)) AS k)")
 def labelling_sheet(spark, d):
-    """Windows exported for labelling with stable ids, as JSON lines and as a sheet; the sheet is read back."""
+    """Windows exported for labelling with stable ids, as JSON lines and as sheets; the sheets are read back."""
     path = scratch(spark, "labelling")
     w = table(spark, d, "supplier").select(F.concat("s_name", F.lit(".json")).alias("file"), F.col("s_nationkey").alias("record_no"), F.array(F.struct(F.lit("first").alias("context")), F.struct(F.lit("second").alias("context"))).alias("context"))
     writers.labelling(w, path)
-    return workbook.read(spark, f"{path}/labels.xlsx", "context_id string, context string, label int")
+    return workbook.read(spark, f"{path}/labels*.xlsx", "context_id string, context string, label int")
 
 
 @query("SELECT bucket, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_custkey, CAST(floor(c_acctbal / 1000 + 1e-9) AS INT) AS bucket, row_number() OVER (PARTITION BY CAST(floor(c_acctbal / 1000 + 1e-9) AS INT) ORDER BY c_custkey) AS r FROM customer WHERE CAST(floor(c_acctbal / 1000 + 1e-9) AS INT) < (SELECT ceil(max(c_acctbal) / 1000 - 1e-9) FROM customer)) WHERE r <= 3 GROUP BY bucket")

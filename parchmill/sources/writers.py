@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import strings
+from ..session import cut
 
 #: A selection of more files than this is a table, not a folder of copies.
 COPY_FILES = 10_000
@@ -100,6 +102,31 @@ def write_named(df: DataFrame, folder: str, name: str, form: str = "csv", **opti
     return str(target)
 
 
+def write_parts(df: DataFrame, folder: str, name: str, ending: str, form: str, **options) -> int:
+    """A result of any size as files of a given name, written aside by tasks, then renamed; the number of files with content.
+
+    One file is named ``name.ending``, several ``name-00001.ending`` and so on; those of an earlier run are replaced.
+    Without rows there is one empty file.
+    """
+    spark = df.sparkSession
+    folder = folder.rstrip("/")
+    aside = f"{folder}/.{uuid.uuid4().hex}"
+    df.write.options(**{"compression": "none"} | options).format(form).save(aside)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = {f.getPath().getName(): f.getLen() for f in fs.listStatus(path(aside)) if f.getPath().getName().startswith("part-")}
+    full = sorted(part for part, size in made.items() if size)
+    parts = full or sorted(made)[:1]
+    earlier = re.compile(re.escape(name) + r"(-\d{5,})?\." + re.escape(ending))
+    for f in fs.listStatus(path(folder)):
+        if earlier.fullmatch(f.getPath().getName()):
+            fs.delete(f.getPath(), False)
+    for k, part in enumerate(parts, 1):
+        fs.rename(path(f"{aside}/{part}"), path(f"{folder}/{name}.{ending}" if len(parts) == 1 else f"{folder}/{name}-{k:05d}.{ending}"))
+    fs.delete(path(aside), True)
+    return len(full)
+
+
 def copy_files(paths: DataFrame, folder: str) -> int:
     """Copy the files that ``paths`` (path) names into a folder, by tasks; the number of files. Names must differ."""
     files = paths.select("path").distinct()
@@ -140,14 +167,20 @@ def write_query_configs(df: DataFrame, folder: str) -> int:
 def labelling(windows: DataFrame, folder: str, most: int = 100_000) -> int:
     """Windows to be labelled, with stable ids: ``contexts.jsonl`` and a sheet ``labels.xlsx`` with empty labels and notes.
 
-    ``windows`` has (file, record_no, context: array of windows). The number of windows; more than ``most`` raise.
+    ``windows`` has (file, record_no, context: array of windows). The number of windows; more than ``most`` go into
+    several files by ranges of ids, ``contexts-00001.jsonl`` and ``labels-00001.xlsx`` and so on, of at most ``most`` a sheet.
     """
     from . import workbook
 
-    rows = context_ids(windows).select("context_id", "file", "window.*")
-    write_named(rows, folder, "contexts.jsonl", "json")
+    made = context_ids(windows).select("context_id", "file", "window.*")
+    rows = cut(made.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in made.dtypes if kind == "void"}), "labelling")
+    count = rows.count()
+    # a fifth of room, as ranges are sampled
+    rows = rows.repartitionByRange(-(-count * 5 // (most * 4)), "context_id") if count > most else rows.coalesce(1)
+    write_parts(rows, folder, "contexts", "jsonl", "json")
     sheet = rows.select("context_id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("string").alias("notes"), *[c for c in ("context", "matched_phrase") if c in rows.columns])
-    return workbook.write(sheet, f"{folder.rstrip('/')}/labels.xlsx", most)
+    workbook.write_all(sheet, folder, "labels", most)
+    return count
 
 
 def count_files(df: DataFrame) -> DataFrame:

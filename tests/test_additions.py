@@ -220,3 +220,33 @@ def test_labelling_and_query_configs(spark, tmp_path):
     q = spark.createDataFrame([("q1", "nps", ["10-K"]), ("q2", None, None)], "query_id string, keyword string, filing_categories array<string>")
     assert writers.write_query_configs(q, f"file://{tmp_path}/q") == 2
     assert rows(readers.search_queries(spark, f"file://{tmp_path}/q").select("query_id", "keyword", "filing_categories")) == [("q1", "nps", ["10-K"]), ("q2", "", [])]
+
+
+def test_labelling_beyond_one_sheet(spark, tmp_path):
+    """More windows than one sheet holds go into several, none twice and none left out; a later run replaces them."""
+    import zipfile
+
+    w = spark.range(40).select(F.format_string("f%02d.json", "id").alias("file"), F.lit(0).alias("record_no"), F.array(*[F.struct(F.lit(t).alias("context"), F.lit(None).alias("empty")) for t in ("é & <x>", "y")]).alias("context"))
+    folder, schema = tmp_path / "l", "context_id string, context string, label int"
+    want = sorted((f"f{k:02d}__r0__c{j}", t, None) for k in range(40) for j, t in enumerate(("é & <x>", "y")))
+    assert writers.labelling(w, f"file://{folder}", 7) == 80
+    sheets = sorted(p.name for p in folder.glob("labels*"))
+    assert len(sheets) >= 12 and sheets[0] == "labels-00001.xlsx"
+    for name in sheets:
+        with zipfile.ZipFile(folder / name) as z:
+            assert z.testzip() is None and z.comment == b"\n" and z.getinfo("xl/worksheets/sheet1.xml").compress_type == zipfile.ZIP_DEFLATED
+        assert 1 < len(list(workbook.rows_of((folder / name).read_bytes()))) <= 8
+    assert rows(workbook.read(spark, f"file://{folder}/labels*.xlsx", schema)) == want
+    assert sorted(json.loads(x)["context_id"] for p in folder.glob("contexts*.jsonl") for x in p.read_text().splitlines()) == [r[0] for r in want]
+    assert writers.labelling(w.limit(1), f"file://{folder}") == 2
+    assert writers.labelling(w.limit(0), f"file://{tmp_path}/none") == 0
+    assert sorted(p.name for p in folder.glob("[a-z]*")) == ["contexts.jsonl", "labels.xlsx"]
+    assert [r[0] for r in rows(workbook.read(spark, f"file://{folder}/*.xlsx", schema))] == ["f00__r0__c0", "f00__r0__c1"]
+    assert workbook.read(spark, f"file://{tmp_path}/none/labels.xlsx", schema).count() == 0
+    assert list(workbook.rows_of((tmp_path / "none" / "labels.xlsx").read_bytes())) == [["context_id", "label", "notes", "context"]]
+
+
+def test_a_sheet_is_full_by_its_characters_too(spark, tmp_path):
+    long = spark.range(10).coalesce(1).select(F.repeat(F.lit("x"), 1_000).alias("t"), F.when(F.col("id") > 0, F.col("id").cast("int")).alias("n"))
+    assert workbook.write_all(long, f"file://{tmp_path}", "w", chars=3_000) == 4
+    assert rows(workbook.read(spark, f"file://{tmp_path}/w-*.xlsx", "t string, n int")) == [("x" * 1_000, k) for k in range(1, 10)] + [("x" * 1_000, None)]
