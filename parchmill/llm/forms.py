@@ -137,19 +137,27 @@ class LookalikeTrie:
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
-    """The whole words of a public tokenizer's vocabulary (a fixed file), without those of fewer than two letters."""
-    if not os.path.exists(path):
-        return []
+    """The whole words of a public tokenizer's vocabulary (a fixed file), without those of fewer than two letters.
+
+    A file that is missing, is no vocabulary or has no such words raises, as spellings would silently be other ones.
+    """
     with open(path, encoding="utf-8") as f:
         ids = json.load(f)["model"]["vocab"]
-    return [w[:-4] for w in ids if w.endswith("</w>") and len(w) > 5 and w[:-4].isascii() and w[:-4].isalpha()]
+    words = [w[:-4] for w in ids if w.endswith("</w>") and len(w) > 5 and w[:-4].isascii() and w[:-4].isalpha()]
+    if not words:
+        raise ValueError(f"no words in the vocabulary {path}")
+    return words
 
 
 class Canonical:
-    """Writes a text in the one form; ``path`` names the vocabulary's file."""
+    """Writes a text in the one form; ``path`` names the vocabulary's file.
+
+    Made by hand for another path that names no file, it goes by the table only. Operators take :func:`canonical`.
+    """
 
     def __init__(self, path: str = VOCABULARY) -> None:
         self.path, self.plain = path, plain_table()
+        self.table_only = path != VOCABULARY and not os.path.exists(path)
         accented = [chr(c) for c in [*range(0x370, 0x530), *range(0x1F00, 0x2000)] if unicodedata.normalize("NFD", chr(c))[0] in TWINS]
         self.twin = re.compile(_klass({*TWINS, *accented}))
         self.foreign = re.compile(f"[{GREEK_CYRILLIC}]")
@@ -204,7 +212,7 @@ class Canonical:
     def _spelled(self, token: str, plain: str) -> str:
         """A word by the trie, or by the table if the trie doesn't hold it."""
         if self.trie is None:
-            self.trie = LookalikeTrie(vocabulary(self.path))
+            self.trie = LookalikeTrie(() if self.table_only else vocabulary(self.path))
         said, table = self.trie.spell(token), self._table(plain)
         self.by_trie += said is not None
         self.by_table += said is None
@@ -250,5 +258,7 @@ class Canonical:
 
 @lru_cache(maxsize=4)
 def canonical(path: str = VOCABULARY) -> Canonical:
-    """One :class:`Canonical` per Python worker."""
-    return Canonical(path)
+    """One :class:`Canonical` per Python worker. It has its words at once, so a lost vocabulary fails whatever the texts hold."""
+    form = Canonical(path)
+    form.trie = LookalikeTrie(vocabulary(path))
+    return form

@@ -1,7 +1,10 @@
+import json
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parchmill.llm import lookalikes
+from parchmill.llm import forms, lookalikes
 from parchmill.llm.forms import Canonical, LookalikeTrie, canonical, plain_table
 from tests.conftest import rows
 
@@ -79,3 +82,26 @@ def test_pairs_and_classes(spark):
     assert rows(lookalikes.lookalike_classes(df)) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (9, 1, 3)]
     assert lookalikes.lookalike_pairs(df.limit(0)).count() == 0
     assert rows(lookalikes.with_form(df.filter("record_id IN (2, 4)"), "core_text").select("form_text")) == [("Net score",), (None,)]
+
+
+def test_a_lost_vocabulary_is_an_error(spark, tmp_path, monkeypatch):
+    """Without its words the table would give a form of its own: Іeave would look like Ieave, not like leave."""
+    df = spark.createDataFrame([(1, "Іeave"), (2, "leave"), (3, "Ieave")], "record_id long, core_text string")
+    assert rows(lookalikes.lookalike_pairs(df)) == [(1, 2)]
+    for make in (lookalikes.lookalike_pairs, lookalikes.lookalike_classes):
+        with pytest.raises(Exception, match="/no/such/file"):
+            make(df.filter("record_id > 1"), path="/no/such/file").collect()  # whatever the texts hold
+    with pytest.raises(Exception, match="/no/such/file"):
+        lookalikes.with_form(df, "core_text", path="/no/such/file").collect()
+    for make in (forms.vocabulary, canonical):
+        with pytest.raises(FileNotFoundError):
+            make("/no/such/file")
+        for k, text in enumerate(["{", "{}", json.dumps({"model": {"vocab": {"a": 0, "leave": 1, "a1</w>": 2}}})]):
+            (tmp_path / str(k)).write_text(text)
+            with pytest.raises((ValueError, KeyError)):
+                make(str(tmp_path / str(k)))
+    (tmp_path / "words").write_text(json.dumps({"model": {"vocab": {"leave</w>": 0}}}))
+    assert canonical(str(tmp_path / "words"))("Іeave") == "leave"
+    monkeypatch.setattr(forms, "VOCABULARY", "/no/such/vocabulary")
+    with pytest.raises(FileNotFoundError):
+        Canonical("/no/such/vocabulary")("Іeave")
